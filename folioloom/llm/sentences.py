@@ -218,7 +218,7 @@ def gaps(line: str) -> Gaps:
                     kind, prior, word = "acronym", 0.1, ""
                 else:
                     kind, prior = "word", 0.95
-                if n == e and not c.isupper() and c not in OPENERS:
+                if n == e and not (c.isupper() or CJK.match(c) or c in OPENERS):
                     prior = min(prior, 0.05)
         slot, case = right_token(line, n)
         g.at.append(e)
