@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lookalike", "sentences")
+MODULES = ("pieces", "lookalike", "sentences", "packing", "languages")
 
 
 def queries() -> dict:
