@@ -34,9 +34,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank", slices: int = 0) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank", running: str | None = None) -> DataFrame:
     """Adds a 0-based rank within each value of `keys`, without one task per key.
 
+    With `running`, also the sum of that column over the rows before, as `<running>_before`.
+
     A hot key would put all its rows into one window task.  Rows are range-partitioned by
     (keys, order), ranked inside their partition, and shifted by the number of rows of the
     same key in the partitions before; only one count per key and partition leaves the
@@ -47,19 +49,18 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank",
     from pyspark.sql import Window
 
     spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [*keys, *order]
     part = cut_lineage(df.repartitionByRange(n, *cols).withColumn("_slice", F.spark_partition_id()))
     local = Window.partitionBy("_slice", *keys).orderBy(*order)
-    counts = part.groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    measures = {name: F.lit(1)} | ({f"{running}_before": F.col(running)} if running else {})
+    counts = part.groupBy("_slice", *keys).agg(*[F.sum(m).alias(f"_n_{k}") for k, m in measures.items()])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (
-        part.withColumn("_local", F.row_number().over(local) - 1)
-        .join(offsets, ["_slice", *keys])
-        .withColumn(name, F.col("_local") + F.col("_before"))
-        .drop("_slice", "_local", "_before")
-    )
+    offsets = counts.select("_slice", *keys, *[F.coalesce(F.sum(f"_n_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in measures])
+    ahead = local.rowsBetween(Window.unboundedPreceding, -1)
+    inner = part.withColumns({f"_l_{k}": F.coalesce(F.sum(m).over(ahead), F.lit(0)) for k, m in measures.items()})
+    joined = inner.join(offsets, ["_slice", *keys])
+    return joined.withColumns({k: F.col(f"_l_{k}") + F.col(f"_o_{k}") for k in measures}).drop("_slice", *[f"_{x}_{k}" for k in measures for x in "lo"])
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:

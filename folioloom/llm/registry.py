@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pieces", "lookalike", "sentences", "packing", "languages")
+MODULES = ("pieces", "lookalike", "sentences", "packing", "mixture", "languages")
 
 
 def queries() -> dict:
