@@ -96,28 +96,40 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     counts = splitting_tree(blocks, shards, seed)
     ends = counts.cumsum(0)  # (shards, sources): the permuted blocks of a source before the end of each shard
     perms = [permutation(int(n), seed + i) for i, n in enumerate(blocks)]
-    shared = spark.sparkContext.broadcast((sources, quota, have, block, blocks, ends, perms))
+    
 
-    stream = ranked(
-        own.where(F.col("source").isin(sources)).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), ["source"], ["_h", "doc_id"], running="tokens")
+    stream = cut_lineage(ranked(
+        own.where(F.col("source").isin(sources)).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), ["source"], ["_h", "doc_id"], running="tokens"))
+    # In the last pass only what fits whole is drawn, and the document that best fills the gap.
+    rest = F.create_map(*[x for s in sources for x in (F.lit(s), F.lit(quota[s] % have[s]))])[F.col("source")]
+    fits = F.col("tokens_before") + F.col("tokens") <= rest
+    filled = {r.source: int(r.n) for r in stream.where(fits).groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    gap = F.create_map(*[x for s in sources for x in (F.lit(s), F.lit(quota[s] % have[s] - filled.get(s, 0)))])[F.col("source")]
+    last = {r.source: r.best.doc_id for r in stream.where(~fits & (F.col("tokens") <= gap)).groupBy("source").agg(F.max(F.struct("tokens", "doc_id")).alias("best")).collect()}
+
+    shared = spark.sparkContext.broadcast((sources, quota, have, block, blocks, ends, perms, last))
 
     def draw(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sources_, quota_, have_, block_, blocks_, ends_, perms_ = shared.value
+        sources_, quota_, have_, block_, blocks_, ends_, perms_, last_ = shared.value
         for b in rows:
             parts = []
             for name, at in b.groupby("source").indices.items():
                 i = sources_.index(name)
                 before, n = b["tokens_before"].to_numpy(np.int64)[at], have_[name]
-                for copy in range(-(-quota_[name] // n)):
-                    position = before + copy * n
-                    use = position < quota_[name]
+                tokens, doc = b["tokens"].to_numpy(np.int64)[at], b["doc_id"].to_numpy()[at]
+                for copy in range(quota_[name] // n + 1):
+                    filler = (doc == last_.get(name)) & (copy == quota_[name] // n)
+                    position = np.where(filler, quota_[name] - 1, before + copy * n)
+                    use = filler | (position + tokens <= quota_[name])
+                    if copy == quota_[name] // n and quota_[name] % n == 0:
+                        break
                     a, c = perms_[i]
                     nb = int(blocks_[i])
                     # Python's integers: a * block may exceed 64 bits for very many blocks.
                     place = np.array([(a * int(k) + c) % nb for k in position[use] // block_], np.int64)
                     parts.append(pd.DataFrame({
-                        "shard": np.searchsorted(ends_[:, i], place, "right"), "doc_id": b["doc_id"].to_numpy()[at][use],
-                        "source": name, "copy": copy, "tokens": b["tokens"].to_numpy()[at][use]}))
+                        "shard": np.searchsorted(ends_[:, i], place, "right"), "doc_id": doc[use],
+                        "source": name, "copy": copy, "tokens": tokens[use]}))
             if parts:
                 yield pd.concat(parts)
 
