@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("names", "pieces", "lookalike", "sentences", "packing", "mixture", "languages")
+MODULES = ("names", "bitext", "pieces", "lookalike", "sentences", "packing", "mixture", "languages")
 
 
 def queries() -> dict:
