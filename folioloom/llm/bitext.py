@@ -47,7 +47,7 @@ ON_PATH = 0.08
 #: On the path, agreement counts this much, above what neither speaks for a pair nor against it.
 GAIN, NEUTRAL = 6.0, 0.55
 #: Share of the pairs that can't be renderings allowed above the cut.
-CHANCE = 0.001
+CHANCE = 0.0015
 #: Sentences of a side aligned at once; longer chapters are cut into overlapping parts.
 PART = 2000
 #: Weight of the side of which more is explained.
@@ -282,6 +282,8 @@ def chapter_pairs(first: list[Unit], second: list[Unit], m: Model) -> list[tuple
 CHAPTER = "chapter_id bigint, part int, first_id array<bigint>, first_text array<string>, first_core array<boolean>, second_id array<bigint>, second_text array<string>"
 #: Bins of the histogram of agreements between distant clauses, over 0 to 2.
 BINS = 2000
+#: A word and a character pair seen together less often aren't associated.
+LEAST = 3
 _CE, _CZ, _N, _D, _HIST = WORDS * PAIRS, WORDS * PAIRS + WORDS, WORDS * PAIRS + WORDS + PAIRS, WORDS * PAIRS + WORDS + PAIRS + 1, WORDS * PAIRS + WORDS + PAIRS + 2
 TABLE = _HIST + BINS
 
@@ -349,13 +351,13 @@ def _sides(row, m: Model) -> tuple[list[Unit], list[Unit]]:
     return units(list(row.first_id), list(row.first_text), True, m.stock), units(list(row.second_id), list(row.second_text), False, m.stock)
 
 
-def count_beads(chapters_: DataFrame, m: Model) -> np.ndarray:
+def count_beads(chapters_: DataFrame, m: Model) -> pd.DataFrame:
     """Counts over the one-to-one beads of all chapters, and of agreements between distant clauses."""
     shared = chapters_.sparkSession.sparkContext.broadcast(m)
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        t = np.zeros(TABLE, np.int64)
+        t = np.zeros(TABLE, np.int32)
         joint = t[: WORDS * PAIRS].reshape(WORDS, PAIRS)
         for b in rows:
             for row in b.itertuples():
@@ -377,27 +379,30 @@ def count_beads(chapters_: DataFrame, m: Model) -> np.ndarray:
         at = np.flatnonzero(t)
         yield pd.DataFrame({"slot": at, "n": t[at]})
 
-    rows = chapters_.mapInPandas(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most TABLE rows
-    out = np.zeros(TABLE, np.int64)
-    out[rows["slot"].to_numpy(np.int64)] = rows["n"]
-    return out
+    counted = chapters_.mapInPandas(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    # At most TABLE rows; rare companions say nothing and stay where they are.
+    return counted.where((F.col("slot") >= _CE) | (F.col("n") >= LEAST)).toPandas()
 
 
-def learnt(m: Model, t: np.ndarray) -> Model:
+def learnt(m: Model, counts: pd.DataFrame) -> Model:
     """The model with the associations, the spread and the cut that the counts give."""
-    n = int(t[_N])
-    joint, ce, cz = t[: WORDS * PAIRS].reshape(WORDS, PAIRS).astype(np.float32), t[_CE:_CZ].astype(np.float32), t[_CZ:_N].astype(np.float32)
-    with np.errstate(divide="ignore"):
-        assoc = np.where(joint >= 3, np.log2((joint + 0.1) / (np.outer(ce, cz) / max(n, 1) + 0.1)), 0).clip(0).astype(np.float32)
-    info = [np.where(c >= 3, np.log2((n + 1) / (c + 1)).clip(0, 8), 0) for c in (ce, cz)]
-    hist = t[_HIST:]
+    slot, count = counts["slot"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
+    rest = np.zeros(TABLE - _CE)
+    single = slot >= _CE
+    rest[slot[single] - _CE] = count[single]
+    ce, cz, n = rest[:WORDS], rest[WORDS : WORDS + PAIRS], rest[_N - _CE]
+    word, pair = slot[~single] // PAIRS, slot[~single] % PAIRS
+    assoc = np.zeros((WORDS, PAIRS), np.float32)
+    assoc[word, pair] = np.log2((count[~single] + 0.1) / (ce[word] * cz[pair] / max(n, 1) + 0.1)).clip(0)
+    info = [np.where(c >= LEAST, np.log2((n + 1) / (c + 1)).clip(0, 8), 0) for c in (ce, cz)]
+    hist = rest[_HIST - _CE :]
     cut = m.cut
     if hist.sum() >= 1000:
         cut = float(np.searchsorted(np.cumsum(hist), (1 - CHANCE) * hist.sum()) * 2 / BINS)
-    return Model(m.stock, m.ratio, max(1.0, t[_D] / 1000 / n) if n else m.spread, assoc, info[0], info[1], cut)
+    return Model(m.stock, m.ratio, max(1.0, rest[_D - _CE] / 1000 / n) if n else m.spread, assoc, info[0], info[1], cut)
 
 
-def train(chapters_: DataFrame, passes: int = 2) -> Model:
+def train(chapters_: DataFrame, passes: int = 3) -> Model:
     stock, ratio = stock_phrases(chapters_)
     m = Model(stock, ratio, 6.8)
     for _ in range(passes):
