@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioloom.functions.text import comparable
 
@@ -82,7 +83,7 @@ def keyword_recall(anchor: Column, candidate: Column, common: str) -> Column:
     return F.when(F.size(asked) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(asked, characters(comparable(candidate)))) / F.size(asked))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """M5: Ratcliff-Obershelp over the first 180 characters of each."""
     return pd.Series([SequenceMatcher(None, (x or "")[:180], (y or "")[:180]).ratio() for x, y in zip(a, b)])

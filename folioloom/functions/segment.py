@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioloom.functions.text import squeeze, visible
 
@@ -65,14 +66,14 @@ def closed_pieces(text: str, terminals: str, closers: str, words: frozenset[str]
     return [p for p in (" ".join(x.split()) for x in out) if p]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def western_sentences(text: pd.Series) -> pd.Series:
     """Terminals . ! ? before a blank, but not after an abbreviation."""
     words = frozenset(ABBREVIATIONS["western"].split())
     return text.map(lambda t: [] if t is None else closed_pieces(" ".join(t.split()), ".!?", "”’»\"')）]", words, False, False))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def quote_sentences(text: pd.Series, lang: pd.Series) -> pd.Series:
     """T4: by language; a decimal point ends nothing."""
     words = frozenset(ABBREVIATIONS["quotes"].split())

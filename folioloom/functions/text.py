@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Java's \s is ASCII only; (?U) makes it Unicode's, as the semantics ask.
 SPACES = r"(?U)\s+"
@@ -30,7 +31,7 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, SPACES, " "), "^ | $", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())  # a type, as a worker has no session to parse a name
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
