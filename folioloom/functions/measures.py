@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,15 +90,48 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, (x or "")[:180], (y or "")[:180]).ratio() for x, y in zip(a, b)])
 
 
-def content_similarity(anchor: Column, candidate: Column, common: str) -> Column:
-    """M7."""
-    a, b = comparable(anchor), comparable(candidate)
-    rare_a, rare_b = comparable(anchor, common), comparable(candidate, common)
+@F.pandas_udf(T.DoubleType())
+def sequence_bound(a: pd.Series, b: pd.Series) -> pd.Series:
+    """At least M5, from the letters both have, wherever they stand."""
+    out, left = [], {}
+    for x, y in zip(a, b):
+        x, y = (x or "")[:180], (y or "")[:180]
+        if x not in left:
+            left = {x: Counter(x)}
+        shared = sum((left[x] & Counter(y)).values())
+        out.append(2.0 * shared / (len(x) + len(y)) if x or y else 1.0)
+    return pd.Series(out)
+
+
+SEQUENCE_WEIGHT = 0.22
+
+
+def with_keys(df: DataFrame, text: str, prefix: str, common: str) -> DataFrame:
+    """Adds what M7 compares of a text: its key, the key without common characters, the bigrams of both.
+
+    They are columns of their own, so that they are computed once a row: inside the lambda that
+    makes n-grams an expression would be computed for each of them.
+    """
+    keys = df.withColumns({f"{prefix}_key": comparable(F.col(text)), f"{prefix}_rare": comparable(F.col(text), common)})
+    return keys.withColumns({f"{prefix}_grams": ngrams(F.col(f"{prefix}_key")), f"{prefix}_rare_grams": ngrams(F.col(f"{prefix}_rare"))})
+
+
+def content_parts(a: str, b: str) -> Column:
+    """M7 without the sequence ratio, over the keys with these prefixes; `b` is the candidate."""
     mix = (
-        0.40 * jaccard(ngrams(a), ngrams(b)) + 0.32 * jaccard(ngrams(rare_a), ngrams(rare_b))
-        + 0.22 * sequence_ratio(a, b) + 0.06 * length_similarity(F.length(a), F.length(b))
-    )
-    return F.when(F.length(b) == 0, F.lit(0.0)).otherwise(mix)
+        0.40 * jaccard(F.col(f"{a}_grams"), F.col(f"{b}_grams")) + 0.32 * jaccard(F.col(f"{a}_rare_grams"), F.col(f"{b}_rare_grams"))
+        + 0.06 * length_similarity(F.length(f"{a}_key"), F.length(f"{b}_key")))
+    return F.when(F.length(f"{b}_key") == 0, F.lit(0.0)).otherwise(mix)
+
+
+def sequence_part(a: str, b: str, measure=None) -> Column:
+    """The sequence ratio over the keys, or another measure of them; 0 for an empty candidate."""
+    return F.when(F.length(f"{b}_key") == 0, F.lit(0.0)).otherwise((measure or sequence_ratio)(F.col(f"{a}_key"), F.col(f"{b}_key")))
+
+
+def content_similarity(a: str, b: str) -> Column:
+    """M7, over the keys with these prefixes."""
+    return content_parts(a, b) + SEQUENCE_WEIGHT * sequence_part(a, b)
 
 
 def position_score(mid: Column, target: Column, window: Column) -> Column:

@@ -65,9 +65,28 @@ def band_candidates(anchors: DataFrame, sentences: DataFrame, keys: list[str], n
     return ranked.where(F.when(F.col("_in") == 1, F.col("_d") <= F.col("window")).otherwise(F.col("_n") <= nearest)).select("anchor_id", "idx")
 
 
-def top_content(anchors: DataFrame, sentences: DataFrame, keys: list[str], common: str = "", most: int = 24) -> DataFrame:
-    """D16, step 3: (anchor_id, idx): the sentences most like the anchor over its whole chapter."""
-    scored = anchors.join(sentences, keys).withColumn("_s", M.content_similarity(F.col("anchor"), F.col("text"), common))
+def promising(rows: DataFrame, parts: Column, weight: float, most: int) -> DataFrame:
+    """The rows that can be among the `most` best of each anchor, with `parts`, the score without the sequence ratio.
+
+    The ratio is dear, so it isn't computed for rows whose score would stay below the
+    `most`-th best even with all letters they share in order: a bound, so no row that counts is
+    lost.  Rows are few and their scoring is long, so they are spread over all partitions.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounded = rows.repartition(n).withColumn("parts", parts).withColumn("upper", F.col("parts") + weight * M.sequence_part("anchor", "text", M.sequence_bound))
+    w = Window.partitionBy("anchor_id").orderBy(F.desc("parts"))
+    floor = F.min(F.when(F.col("_r") <= most, F.col("parts"))).over(Window.partitionBy("anchor_id"))
+    kept = bounded.withColumn("_r", F.row_number().over(w)).withColumn("_floor", floor).where(F.col("upper") >= F.col("_floor") - 1e-9)
+    return kept.drop("_r", "_floor", "upper").repartition(n)
+
+
+def top_content(anchors: DataFrame, sentences: DataFrame, keys: list[str], most: int = 24) -> DataFrame:
+    """D16, step 3: (anchor_id, idx): the sentences most like the anchor over its whole chapter.
+
+    Both sides have their keys (`measures.with_keys`) under the prefixes anchor and text.
+    """
+    kept = promising(anchors.join(sentences, keys), M.content_parts("anchor", "text"), M.SEQUENCE_WEIGHT, most)
+    scored = kept.withColumn("_s", F.col("parts") + M.SEQUENCE_WEIGHT * M.sequence_part("anchor", "text"))
     w = Window.partitionBy("anchor_id").orderBy(F.desc("_s"), "idx")
     return scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("anchor_id", "idx")
 
@@ -97,14 +116,15 @@ def match_excerpts(anchors: DataFrame, sentences: DataFrame, keys: list[str], co
     excerpt, confidence, recall, length_ratio, position_delta).  An anchor whose chapter has no
     sentences has an empty excerpt of confidence 0.
     """
-    wide = anchors.withColumn("window", F.greatest(F.lit(1200.0), F.col("chars") * 0.1))
-    candidates = band_candidates(wide, sentences, keys).unionByName(top_content(wide, sentences, keys, common)).distinct()
-    windows = excerpt_windows(candidates, wide, sentences, keys).join(wide.select("anchor_id", "anchor", "target", "window", "chars"), "anchor_id")
-    content = M.content_similarity(F.col("anchor"), F.col("text"), common)
+    wide = M.with_keys(anchors.withColumn("window", F.greatest(F.lit(1200.0), F.col("chars") * 0.1)), "anchor", "anchor", common)
+    keyed = M.with_keys(sentences, "text", "text", common)
+    candidates = band_candidates(wide, sentences, keys).unionByName(top_content(wide, keyed, keys)).distinct()
+    windows = M.with_keys(excerpt_windows(candidates, wide, sentences, keys), "text", "text", common).join(wide.drop(*keys), "anchor_id")
     recall = M.keyword_recall(F.col("anchor"), F.col("text"), common)
     lengths = M.length_similarity(F.length("anchor"), F.length("text"))
-    score = M.window_score(content, recall, lengths, M.position_score(F.col("mid"), F.col("target"), F.col("window")))
-    scored = windows.withColumn("score", score).withColumn("recall", recall)
+    place = M.position_score(F.col("mid"), F.col("target"), F.col("window"))
+    kept = promising(windows, M.window_score(M.content_parts("anchor", "text"), recall, lengths, place), 0.58 * M.SEQUENCE_WEIGHT, 1)
+    scored = kept.withColumn("score", F.col("parts") + 0.58 * M.SEQUENCE_WEIGHT * M.sequence_part("anchor", "text")).withColumn("recall", recall)
     best = scored.groupBy("anchor_id").agg(F.max(F.struct("score", (-F.col("first")).alias("f"), (-F.col("last")).alias("l"), "text", "mid", "recall", "anchor", "target", "chars")).alias("m"))
     m = F.col("m")
     found = best.select(
