@@ -83,6 +83,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     ddl = "shard int, position int, doc_id bigint, source string, copy int, tokens bigint"
     asked = bounded_rows(targets.where("source is not null").dropDuplicates(["source"]), 10_000, "mix_targets")
     names = [r.source for r in asked]
+    sizes = sizes.select("doc_id", "source", "tokens")
     own = sizes.where(F.col("source").isin(names) & (F.col("tokens") > 0)) if names else sizes.where("false")
     have = {r.source: int(r.n) for r in own.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # a row for each target
     quota = quotas(have, {r.source: r.target_share for r in asked}, {r.source: r.max_repeats for r in asked}, total)
@@ -141,7 +142,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
 
 def report(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """For every target: what the source has, what was drawn, and the share reached."""
-    asked = targets.where("source is not null").dropDuplicates(["source"])
+    asked = targets.where("source is not null").dropDuplicates(["source"]).select("source", "target_share", "max_repeats")
     have = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("available"))
     # Uses of a document are numbered from 0, so their number needs no shuffle by document.
     drawn = mixed.groupBy("source").agg(F.sum("tokens").alias("drawn"), F.count(F.lit(1)).alias("uses"), (F.max("copy") + 1).alias("most_uses"))

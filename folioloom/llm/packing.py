@@ -275,7 +275,7 @@ def report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     """Containers, tokens and fill by capacity, with the containers that the volume alone needs."""
     return (
         packed.groupBy("capacity_id").agg(F.max("container").alias("last"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
-        .join(capacities.where("capacity_tokens > 0").dropDuplicates(["capacity_id"]), "capacity_id")
+        .join(capacities.where("capacity_tokens > 0").dropDuplicates(["capacity_id"]).select("capacity_id", "capacity_tokens"), "capacity_id")
         .select("capacity_id", "capacity_tokens", "pieces", "tokens", (F.col("last") + 1).alias("containers"),
                 F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("needed_by_volume"),
                 (F.col("tokens") / ((F.col("last") + 1) * F.col("capacity_tokens"))).alias("fill"))

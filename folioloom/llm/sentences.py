@@ -23,6 +23,7 @@ without any mark is one unit for each of its lines.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -71,6 +72,10 @@ KINDS = {"dots": 0, "dots_latin": 1, "point_cjk": 2, "initial": 3, "acronym": 4,
 _TITLES, _ENDERS = frozenset(TITLES.split()), frozenset(ENDERS.split())
 
 
+#: Characters after a quotation in which the clause that reports it has to end.
+CLAUSE_ROOM = 400
+
+
 @lru_cache(200_000)
 def l_slot(word: str) -> int:
     return crc32(word.lower().encode()) % L_SIZE
@@ -101,9 +106,9 @@ def right_token(line: str, at: int) -> tuple[int, str]:
 
 def reported(line: str, start: int, end: int) -> tuple[bool, bool]:
     """Whether the quotation line[start:end] belongs to words before it, and to a clause after it."""
-    before = line[:start].rstrip()
+    before = line[max(0, start - 40) : start].rstrip()
     inside = bool(before) and before[-1] not in "。！？!?…．." + _CLOSE
-    after = line[end:].lstrip()
+    after = line[end : end + CLAUSE_ROOM].lstrip()
     if not after:
         return inside, False
     c = after[0]
@@ -154,6 +159,7 @@ def gaps(line: str) -> Gaps:
         return g
     brackets = [m.span() for m in BRACKET.finditer(line)] if any(c in line for c in "（([［【〔") else ()
     quotes = [(*m.span(), *reported(line, *m.span())) for m in QUOTE.finditer(line)] if any(c in line for c in "“«「『\"") else ()
+    bracket_starts, quote_starts = [b[0] for b in brackets], [q[0] for q in quotes]
     length, last = len(line), -9
     for m in marks:
         s, e = m.span()
@@ -165,20 +171,20 @@ def gaps(line: str) -> Gaps:
         c = line[n]
         if c in STOPS:
             continue
-        if brackets and any(a < s < b for a, b in brackets):
+        if brackets and (k := bisect_left(bracket_starts, s)) and s < brackets[k - 1][1]:
             continue
         mark = line[s]
         kind = None
         if quotes:
             skip = False
-            for a, b, inside, after in quotes:
-                if a < s < b:
-                    if e >= b:  # the mark ends the quotation
-                        skip = after
-                        kind = "quote"
-                    elif inside or after:
-                        skip = True
-                    break
+            k = bisect_left(quote_starts, s)
+            if k and s < quotes[k - 1][1]:
+                _, b, inside, after = quotes[k - 1]
+                if e >= b:  # the mark ends the quotation
+                    skip = after
+                    kind = "quote"
+                elif inside or after:
+                    skip = True
             if skip:
                 last = e
                 continue
@@ -208,7 +214,7 @@ def gaps(line: str) -> Gaps:
                     continue  # inside an acronym
                 word = left_word(line, s)
                 low = word.lower()
-                if low in _ENDERS:
+                if low in _ENDERS and ("." not in word or word.islower()):
                     kind, prior = "word", 0.9
                 elif low in _TITLES:
                     kind, prior = "word", 0.01
