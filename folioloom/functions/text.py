@@ -104,9 +104,14 @@ def join_names(text: Column, parts: Sequence[tuple[str, str]], marks: str = "，
 
 def regional(text: Column) -> Column:
     """妳 and the particle 著 in their usual form; words that hold 著 stay."""
-    guard = "".join(f"(?!{w[1:]})" for w in ZHU_WORDS if w[0] == "著")
-    before = "".join(f"(?<!{w[:-1]})" for w in ZHU_WORDS if w[-1] == "著")
-    return F.regexp_replace(F.translate(text, "妳", "你"), f"{before}著{guard}", "着")
+    # Words are taken out in their order, so of two that overlap the first one counts.
+    out = text
+    for k, w in enumerate(ZHU_WORDS):
+        out = F.replace(out, F.lit(w), F.lit(chr(0xE000 + k)))
+    out = F.translate(out, "妳著", "你着")
+    for k, w in enumerate(ZHU_WORDS):
+        out = F.replace(out, F.lit(chr(0xE000 + k)), F.lit(w))
+    return out
 
 
 def repair_pages(text: Column, watermarks: Sequence[str] = ()) -> Column:

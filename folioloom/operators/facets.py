@@ -121,19 +121,19 @@ def length_summary(df: DataFrame, key: str, length: str) -> DataFrame:
 
     Lengths are counted first, so a key's array has its different lengths, not its rows.
     """
-    counts = df.groupBy(key, length).agg(F.count(F.lit(1)).alias("c"))
+    counts = df.groupBy(key, length).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(key).orderBy(length).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(key)
-    run = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(whole))
+    run = counts.withColumn("_upto", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(whole))
 
     def at(index: Column) -> Column:
-        return F.min(F.when(F.col("upto") > index, F.col(length)))
+        return F.min(F.when(F.col("_upto") > index, F.col(length)))
 
-    n = F.col("n")
+    n = F.col("_n")
     def share(s: float) -> Column:
         return at(F.least(n - 1, F.floor(n * F.lit(s))))
 
     mid = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
     return run.groupBy(key).agg(
-        F.max("n").alias("n"), F.min(length).alias("min"), mid.cast("int").alias("median"),
+        F.max("_n").alias("n"), F.min(length).alias("min"), mid.cast("int").alias("median"),
         share(0.90).alias("p90"), share(0.95).alias("p95"), share(0.99).alias("p99"), F.max(length).alias("max"))
