@@ -143,7 +143,7 @@ class Gaps:
 
 #: A sentence that ends at a doubtful mark has more tokens than this.
 FEW = 4
-_SOFT = frozenset(("word", "initial", "acronym", "point_cjk"))
+_SOFT = frozenset(("initial", "acronym", "point_cjk"))
 
 
 def left_word(line: str, at: int) -> str:
@@ -172,7 +172,9 @@ def gaps(line: str) -> Gaps:
         if c in STOPS:
             continue
         if brackets and (k := bisect_left(bracket_starts, s)) and s < brackets[k - 1][1]:
-            continue
+            s = brackets[k - 1][1]  # what ends the remark ends no sentence, but a mark after it may
+            if s >= e:
+                continue
         mark = line[s]
         kind = None
         if quotes:
@@ -227,6 +229,8 @@ def gaps(line: str) -> Gaps:
                 if n == e and not (c.isupper() or CJK.match(c) or c in OPENERS):
                     prior = min(prior, 0.05)
         slot, case = right_token(line, n)
+        if case == "l" and mark in "。｡！？":
+            case = "o"  # these marks end a sentence whatever letter comes
         g.at.append(e)
         g.kind.append(KINDS[kind])
         g.left.append(l_slot(word) if word else -1)
@@ -234,7 +238,8 @@ def gaps(line: str) -> Gaps:
         g.right.append(slot)
         g.case.append(case)
         since = g.at[-2] if len(g.at) > 1 else 0
-        g.near.append(kind in _SOFT and s - since < 40 and (s - since <= 2 if kind == "point_cjk" or case == "c" else len(line[since:s].split()) <= FEW))
+        doubtful = kind in _SOFT or kind == "word" and (word.lower() in _ENDERS or word.lower() in _TITLES)
+        g.near.append(doubtful and s - since < 40 and (s - since <= 2 if kind == "point_cjk" or case == "c" else len(line[since:s].split()) <= FEW))
         last = e
     return g
 
