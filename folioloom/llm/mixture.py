@@ -77,6 +77,45 @@ def permutation(n: int, seed: int) -> tuple[int, int]:
     return a, int(rng.integers(0, n))
 
 
+#: Documents passed over in the last pass at most, and the share of a quota that may stay open before that.
+SKIPS, CLOSE = 6, 1e-4
+
+
+def last_pass(stream: DataFrame, rest: dict[str, int]) -> tuple[dict[str, list[tuple[int, int]]], dict[str, int]]:
+    """How the last, partial pass through each source ends: documents passed over, and one that fills the gap.
+
+    A document that doesn't fit whole is passed over, and those behind it move up, until hardly
+    anything is open; then the largest document that fits the gap is taken.  A few rows for
+    each source come to the driver.
+    """
+    source = F.col("source")
+    skips: dict[str, list[tuple[int, int]]] = {s: [] for s in rest}
+    limit = F.create_map(*[x for s, r in rest.items() for x in (F.lit(s), F.lit(r))])[source]
+    gap = dict(rest)
+
+    def placed() -> DataFrame:
+        shift, out = F.lit(0), F.lit(False)
+        for s, found in skips.items():
+            for r, size in found:
+                shift = shift + F.when((source == s) & (F.col("rank") > r), size).otherwise(0)
+                out = out | (source == s) & (F.col("rank") == r)
+        end = F.when(~out, F.col("tokens_before") + F.col("tokens") - shift)
+        return stream.withColumn("_end", end).withColumn("_fits", F.col("_end") <= limit)
+
+    for _ in range(SKIPS):
+        state = placed().groupBy("source").agg(F.max(F.when(F.col("_fits"), F.col("_end"))).alias("filled"), F.min(F.when(~F.col("_fits"), F.struct("rank", "tokens"))).alias("next")).collect()
+        gap = {r.source: rest[r.source] - (r.filled or 0) for r in state}
+        more = [r for r in state if r.next is not None and gap[r.source] > CLOSE * max(rest[r.source], 1)]
+        if not more:
+            break
+        for r in more:
+            skips[r.source].append((r.next.rank, r.next.tokens))
+    filled = {r.source: r.n or 0 for r in placed().groupBy("source").agg(F.max(F.when(F.col("_fits"), F.col("_end"))).alias("n")).collect()}
+    room = F.create_map(*[x for s, r in rest.items() for x in (F.lit(s), F.lit(r - filled.get(s, 0)))])[source]
+    spare = placed().where(~F.coalesce("_fits", F.lit(False)) & (F.col("tokens") <= room)).groupBy("source").agg(F.max(F.struct("tokens", "doc_id")).alias("best"))
+    return skips, {r.source: r.best.doc_id for r in spare.collect()}
+
+
 def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7) -> DataFrame:
     """(shard, position, doc_id, source, copy, tokens): each document with each of its uses."""
     spark = sizes.sparkSession
@@ -101,29 +140,28 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
 
     stream = cut_lineage(ranked(
         own.where(F.col("source").isin(sources)).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), ["source"], ["_h", "doc_id"], running="tokens"))
-    # In the last pass only what fits whole is drawn, and the document that best fills the gap.
-    rest = F.create_map(*[x for s in sources for x in (F.lit(s), F.lit(quota[s] % have[s]))])[F.col("source")]
-    fits = F.col("tokens_before") + F.col("tokens") <= rest
-    filled = {r.source: int(r.n) for r in stream.where(fits).groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    gap = F.create_map(*[x for s in sources for x in (F.lit(s), F.lit(quota[s] % have[s] - filled.get(s, 0)))])[F.col("source")]
-    last = {r.source: r.best.doc_id for r in stream.where(~fits & (F.col("tokens") <= gap)).groupBy("source").agg(F.max(F.struct("tokens", "doc_id")).alias("best")).collect()}
-
-    shared = spark.sparkContext.broadcast((sources, quota, have, block, blocks, ends, perms, last))
+    skips, last = last_pass(stream, {s: quota[s] % have[s] for s in sources})
+    shared = spark.sparkContext.broadcast((sources, quota, have, block, blocks, ends, perms, skips, last))
 
     def draw(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sources_, quota_, have_, block_, blocks_, ends_, perms_, last_ = shared.value
+        sources_, quota_, have_, block_, blocks_, ends_, perms_, skips_, last_ = shared.value
         for b in rows:
             parts = []
             for name, at in b.groupby("source").indices.items():
                 i = sources_.index(name)
                 before, n = b["tokens_before"].to_numpy(np.int64)[at], have_[name]
-                tokens, doc = b["tokens"].to_numpy(np.int64)[at], b["doc_id"].to_numpy()[at]
-                for copy in range(quota_[name] // n + 1):
-                    filler = (doc == last_.get(name)) & (copy == quota_[name] // n)
-                    position = np.where(filler, quota_[name] - 1, before + copy * n)
-                    use = filler | (position + tokens <= quota_[name])
-                    if copy == quota_[name] // n and quota_[name] % n == 0:
-                        break
+                tokens, doc, rank = b["tokens"].to_numpy(np.int64)[at], b["doc_id"].to_numpy()[at], b["rank"].to_numpy(np.int64)[at]
+                final = quota_[name] // n
+                for copy in range(final + (quota_[name] % n > 0)):
+                    position = before + copy * n
+                    skipped = np.zeros(len(at), bool)
+                    if copy == final:
+                        for r, size in skips_[name]:
+                            position = position - np.where(rank > r, size, 0)
+                            skipped |= rank == r
+                    filler = (doc == last_.get(name)) & (copy == final)
+                    position = np.where(filler, quota_[name] - 1, position)
+                    use = filler | ~skipped & (position + tokens <= quota_[name])
                     a, c = perms_[i]
                     nb = int(blocks_[i])
                     # Python's integers: a * block may exceed 64 bits for very many blocks.
@@ -134,7 +172,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
             if parts:
                 yield pd.concat(parts)
 
-    drawn = stream.select("doc_id", "source", "tokens", "tokens_before").mapInPandas(draw, "shard int, doc_id bigint, source string, copy int, tokens bigint")
+    drawn = stream.select("doc_id", "source", "tokens", "tokens_before", "rank").mapInPandas(draw, "shard int, doc_id bigint, source string, copy int, tokens bigint")
     # A shard's size is bounded, so its window is too.
     order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "copy", "doc_id"), "doc_id", "copy")
     return drawn.withColumn("position", F.row_number().over(order) - 1).select("shard", "position", "doc_id", "source", "copy", "tokens")
