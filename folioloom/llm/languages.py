@@ -42,6 +42,8 @@ TABLE = ONES + THREES
 TEMPER = 0.3
 #: What a further language must add to a document's log-likelihood, beside half the log of its n-grams.
 PENALTY = 3.0
+#: Characters whose n-grams are in memory at once.
+STRETCH = 1 << 19
 
 BRACKET = re.compile(r"[（(\[【][^（(\[【）)\]】]*[）)\]】]")
 HEADING = re.compile(r"\W*(?:(?:chapter|cap[ií]tulo|cap\.?|part[e]?)\s+[\divxlc]+|第\s*[\d〇零一二三四五六七八九十百]+\s*[章节節回部])\W*", re.I)
@@ -71,6 +73,24 @@ def plain(unit: str) -> str:
     return _DIGITS.sub("0", BRACKET.sub("", unit).lower())
 
 
+def stretches(units: list[str], label: np.ndarray | None = None) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Units with their numbers, a bounded number of characters at a time; a longer unit comes in parts."""
+    some: list[str] = []
+    at: list[int] = []
+    size = 0
+    for i, u in enumerate(units):
+        for k in range(0, max(len(u), 1), STRETCH):
+            part = u[k : k + STRETCH]
+            if some and size + len(part) > STRETCH:
+                yield some, np.array(at)
+                some, at, size = [], [], 0
+            some.append(part)
+            at.append(i)
+            size += len(part)
+    if some:
+        yield some, np.array(at)
+
+
 def grams(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the n-grams of all units, (2, n), and the unit of each position."""
     text = "\x01".join(units) + "\x01"
@@ -98,10 +118,11 @@ def unit_scores(units: list[str], logs: np.ndarray) -> np.ndarray:
     """(units, languages): tempered log-likelihoods."""
     if not units:
         return np.zeros((0, len(LANGUAGES)))
-    slots, of = grams([plain(u) for u in units])
-    out = np.empty((len(units), len(LANGUAGES)))
-    for i in range(len(LANGUAGES)):
-        out[:, i] = np.bincount(of, weights=logs[i][slots[0]] + logs[i][slots[1]], minlength=len(units))
+    out = np.zeros((len(units), len(LANGUAGES)))
+    for some, at in stretches([plain(u) for u in units]):
+        slots, of = grams(some)
+        for i in range(len(LANGUAGES)):
+            np.add.at(out[:, i], at, np.bincount(of, weights=logs[i][slots[0]] + logs[i][slots[1]], minlength=len(some)))
     return out * (TEMPER / 2)
 
 
@@ -170,11 +191,11 @@ def count_grams(documents: DataFrame, logs: np.ndarray | None) -> np.ndarray:
                 units = [t[s:e] for t, spans in zip(b["text"], split(list(b["text"]))) for s, e in spans]
                 units = [u for u in units if is_sentence(u)]
                 label = unit_scores(units, logs_).argmax(1)
-            if units:
-                slots, of = grams([plain(u) for u in units])
-                at = label[of] * TABLE
+            for some, which in stretches([plain(u) for u in units]):
+                slots, of = grams(some)
+                base = label[which[of]] * TABLE
                 for one in slots:
-                    total += np.bincount(at + one, minlength=len(total))
+                    total += np.bincount(base + one, minlength=len(total))
         at = np.flatnonzero(total)
         yield pd.DataFrame({"slot": at, "n": total[at]})
 
