@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """`df` written to the session's `spark.checkpoint.dir` and read from there; a folder is made only where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "folioloom-checkpoint"))
+    return df.checkpoint()
+
+
 def placed(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """The place of each row within its key, from 1.
 
     Rows are range-partitioned by key and order, numbered within their partition, and moved up
     by the number of rows of their key in the partitions before.  `order` has to be unique
-    within a key.  Both passes read the same sorted exchange.
+    within a key.  The partitions are written, as ranges drawn by sampling differ from one
+    evaluation to the next, and both passes must see the same.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id())
+    part = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()))
     counts = part.groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_slice", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
