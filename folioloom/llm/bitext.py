@@ -174,18 +174,19 @@ def agreement(first: list[Unit], second: list[Unit], m: Model) -> np.ndarray:
     mutual information.  The side that says less is the better witness, as a rendering may
     leave details out.
     """
-    by_second, by_first = np.zeros((len(first), len(second))), np.zeros((len(first), len(second)))
-    wa = [m.weight_pair[v.slots] for v in first]
-    starts = np.cumsum([0] + [len(v.slots) for v in first])
-    every = np.concatenate([v.slots for v in first])
-    total_a = np.array([max(w.sum(), 1e-9) for w in wa])
-    weight_a = np.concatenate(wa)
-    for j, u in enumerate(second):
-        rows = m.assoc[u.slots][:, every]  # (words, all pairs of the first side)
-        w = m.weight_word[u.slots]
-        best_of_words = np.minimum(np.maximum.reduceat(rows, starts[:-1], axis=1), w[:, None])  # (words, first)
-        by_second[:, j] = best_of_words.sum(0) / max(w.sum(), 1e-9)
-        by_first[:, j] = np.add.reduceat(np.minimum(rows.max(0), weight_a), starts[:-1]) / total_a
+    words, wi = np.unique(np.concatenate([u.slots for u in second]), return_inverse=True)
+    pairs, pi = np.unique(np.concatenate([v.slots for v in first]), return_inverse=True)
+    at_a = np.cumsum([0] + [len(v.slots) for v in first])
+    at_b = np.cumsum([0] + [len(u.slots) for u in second])
+    known = m.assoc[np.ix_(words, pairs)].astype(np.float32)
+    # What of each word the units of the first side explain, and of each pair those of the second.
+    of_word = np.minimum(np.maximum.reduceat(np.ascontiguousarray(known.T)[pi], at_a[:-1], axis=0), m.weight_word[words].astype(np.float32)[None, :])
+    of_pair = np.minimum(np.maximum.reduceat(known[wi, :], at_b[:-1], axis=0), m.weight_pair[pairs].astype(np.float32)[None, :])
+    has_word, has_pair = np.zeros((len(second), len(words)), np.float32), np.zeros((len(first), len(pairs)), np.float32)
+    has_word[np.repeat(np.arange(len(second)), np.diff(at_b)), wi] = 1
+    has_pair[np.repeat(np.arange(len(first)), np.diff(at_a)), pi] = 1
+    by_second = (of_word @ has_word.T) / np.maximum(has_word @ m.weight_word[words], 1e-9)[None, :]
+    by_first = (has_pair @ of_pair.T) / np.maximum(has_pair @ m.weight_pair[pairs], 1e-9)[:, None]
     low, high = np.minimum(by_first, by_second), np.maximum(by_first, by_second)
     score = (1 - SHORTER) * low + SHORTER * high
     for i, v in enumerate(first):
@@ -208,37 +209,35 @@ def best_path(first: list[Unit], second: list[Unit], m: Model, score: np.ndarray
     a = np.array([u.length for u in first], float)
     b = np.array([u.length for u in second], float)
     fit = GAIN * (score - NEUTRAL) if score is not None else np.zeros((n, k))
-    cost = {}
-    one = length_cost(a[:, None], b[None, :], m)
-    cost[1, 1] = one - fit - math.log(BEADS[1, 1])
-    if n > 1:
-        cost[2, 1] = length_cost((a[:-1] + a[1:])[:, None], b[None, :], m) - (fit[:-1] + fit[1:]) / 2 - math.log(BEADS[2, 1])
-    if k > 1:
-        cost[1, 2] = length_cost(a[:, None], (b[:-1] + b[1:])[None, :], m) - (fit[:, :-1] + fit[:, 1:]) / 2 - math.log(BEADS[1, 2])
-    if n > 1 and k > 1:
-        cost[2, 2] = one[:-1, 1:] + one[1:, :-1] - fit[:-1, 1:] - fit[1:, :-1] - math.log(CROSSED)
-    skip = 4.0 - math.log(BEADS[1, 0])
-    total = np.full((n + 1, k + 1), np.inf)
-    total[0, 0] = 0
-    move = np.zeros((n + 1, k + 1), np.int8)
     kinds = [(1, 1), (1, 0), (0, 1), (2, 1), (1, 2), (2, 2)]
-    for d in range(1, n + k + 1):  # the cells of a diagonal don't depend on each other
-        i = np.arange(max(0, d - k), min(n, d) + 1)
-        j = d - i
-        best, how = np.full(len(i), np.inf), np.zeros(len(i), np.int8)
-        for t, (x, y) in enumerate(kinds):
-            ok = (i >= x) & (j >= y)
-            if not ok.any() or (x and y and (x, y) not in cost):
-                continue
-            p, q = i[ok] - x, j[ok] - y
-            c = total[p, q] + (cost[x, y][p, q] if x and y else skip)
-            better = c < best[ok]
-            at = np.flatnonzero(ok)[better]
-            best[at], how[at] = c[better], t
-        total[i, j], move[i, j] = best, how
+    # Cell (i, j) is at (i + 2, j + 2) of tables with two rims, so that every cell has all its forerunners.
+    wide = k + 3
+    cost = np.full((len(kinds), n + 3, wide), np.inf)
+    if n and k:
+        one = length_cost(a[:, None], b[None, :], m)
+        cost[0, 3:, 3:] = one - fit - math.log(BEADS[1, 1])
+        if n > 1:
+            cost[3, 4:, 3:] = length_cost((a[:-1] + a[1:])[:, None], b[None, :], m) - (fit[:-1] + fit[1:]) / 2 - math.log(BEADS[2, 1])
+        if k > 1:
+            cost[4, 3:, 4:] = length_cost(a[:, None], (b[:-1] + b[1:])[None, :], m) - (fit[:, :-1] + fit[:, 1:]) / 2 - math.log(BEADS[1, 2])
+        if n > 1 and k > 1:
+            cost[5, 4:, 4:] = one[:-1, 1:] + one[1:, :-1] - fit[:-1, 1:] - fit[1:, :-1] - math.log(CROSSED)
+    cost[1:3, 2:, 2:] = 4.0 - math.log(BEADS[1, 0])
+    total = np.full((n + 3) * wide, np.inf)
+    total[2 * wide + 2] = 0
+    move = np.zeros(len(total), np.int8)
+    flat, back = cost.reshape(len(kinds), -1), [x * wide + y for x, y in kinds]
+    for d in range(1, n + k + 1):  # the cells of a diagonal don't depend on each other, and lie in even steps
+        lo, hi = max(0, d - k), min(n, d)
+        at = (lo + 2) * wide + d - lo + 2
+        end = at + (hi - lo) * (wide - 1) + 1
+        tried = flat[:, at : end : wide - 1] + np.stack([total[at - x : end - x : wide - 1] for x in back])
+        how = tried.argmin(0)
+        move[at : end : wide - 1] = how
+        total[at : end : wide - 1] = tried[how, np.arange(len(how))]
     i, j, beads = n, k, []
     while i or j:
-        x, y = kinds[move[i, j]]
+        x, y = kinds[move[(i + 2) * wide + j + 2]]
         if (x, y) == (2, 2):
             beads += [([i - 2], [j - 1]), ([i - 1], [j - 2])]
         elif x and y:
