@@ -24,6 +24,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -161,11 +162,19 @@ class Model:
     stock: dict[str, bool]
     ratio: float  # characters of the second side for one of the first
     spread: float  # variance of the standardised difference, for each character of the first side
-    assoc: np.ndarray | None = None  # (WORDS, PAIRS) association in bits
+    at: np.ndarray | None = None  # word * PAIRS + pair, of the associated ones
+    bits: np.ndarray | None = None  # their association in bits
     weight_word: np.ndarray | None = None  # (WORDS,) information of a word
     weight_pair: np.ndarray | None = None  # (PAIRS,) information of a character pair
     cut: float = 0.65  # agreement that chance pairs hardly reach
 
+    @cached_property
+    def assoc(self) -> np.ndarray:
+        """(WORDS, PAIRS), made where it is used: what travels are the pairs that are associated."""
+        dense = np.zeros(WORDS * PAIRS, np.float32)
+        dense[self.at] = self.bits
+        return dense.reshape(WORDS, PAIRS)
+
 
 def agreement(first: list[Unit], second: list[Unit], m: Model) -> np.ndarray:
     """(first, second): how much of the information of each is accounted for by the other.
@@ -363,7 +372,7 @@ def count_beads(chapters_: DataFrame, m: Model) -> pd.DataFrame:
                 a, z = _sides(row, model)
                 if not a or not z:
                     continue
-                score = agreement(a, z, model) if model.assoc is not None else None
+                score = agreement(a, z, model) if model.at is not None else None
                 if score is not None:
                     far = np.abs(np.arange(len(a))[:, None] / len(a) - np.arange(len(z))[None, :] / len(z)) > 0.3
                     t[_HIST:] += np.histogram(np.clip(score[far], 0, 1.999), BINS, (0, 2))[0]
@@ -380,7 +389,9 @@ def count_beads(chapters_: DataFrame, m: Model) -> pd.DataFrame:
 
     counted = chapters_.mapInPandas(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     # At most TABLE rows; rare companions say nothing and stay where they are.
-    return counted.where((F.col("slot") >= _CE) | (F.col("n") >= LEAST)).toPandas()
+    counts = counted.where((F.col("slot") >= _CE) | (F.col("n") >= LEAST)).toPandas()
+    shared.destroy()
+    return counts
 
 
 def learnt(m: Model, counts: pd.DataFrame) -> Model:
@@ -391,14 +402,15 @@ def learnt(m: Model, counts: pd.DataFrame) -> Model:
     rest[slot[single] - _CE] = count[single]
     ce, cz, n = rest[:WORDS], rest[WORDS : WORDS + PAIRS], rest[_N - _CE]
     word, pair = slot[~single] // PAIRS, slot[~single] % PAIRS
-    assoc = np.zeros((WORDS, PAIRS), np.float32)
-    assoc[word, pair] = np.log2((count[~single] + 0.1) / (ce[word] * cz[pair] / max(n, 1) + 0.1)).clip(0)
+    bits = np.log2((count[~single] + 0.1) / (ce[word] * cz[pair] / max(n, 1) + 0.1))
+    tied = bits > 0
+    at, bits = slot[~single][tied].astype(np.int32), bits[tied].astype(np.float32)
     info = [np.where(c >= LEAST, np.log2((n + 1) / (c + 1)).clip(0, 8), 0) for c in (ce, cz)]
     hist = rest[_HIST - _CE :]
     cut = m.cut
     if hist.sum() >= 1000:
         cut = float(np.searchsorted(np.cumsum(hist), (1 - CHANCE) * hist.sum()) * 2 / BINS)
-    return Model(m.stock, m.ratio, max(1.0, rest[_D - _CE] / 1000 / n) if n else m.spread, assoc, info[0], info[1], cut)
+    return Model(m.stock, m.ratio, max(1.0, rest[_D - _CE] / 1000 / n) if n else m.spread, at, bits, info[0], info[1], cut)
 
 
 def train(chapters_: DataFrame, passes: int = 3) -> Model:
