@@ -23,7 +23,12 @@ def first_deliveries(events: DataFrame, time: str, key: str, late: str) -> DataF
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> StreamingQuery:
-    """All that is there now, into a table in memory; for files as streams and for tests."""
+    """All that is there now, into a table in memory; for files as streams and for tests.
+
+    Offsets and state go to the folder all executors share, if the session names one.
+    """
+    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
+    checkpoint = checkpoint or (f"{shared}/stream-{name}" if shared else None)
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
