@@ -630,7 +630,14 @@ def profiles(entries: DataFrame, to_simplified: dict, lexicon: Lexicon) -> DataF
 
 
 def spelling_links(nodes: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(a, b): close spellings of one block, of nodes (node, block, script, word)."""
+    """(a, b): close spellings of one block, of nodes (node, block, script, word).
+
+    With a column `fresh`, only pairs with a fresh node.
+    """
+    if "fresh" in nodes.columns:
+        nodes = nodes.join(nodes.where("fresh").select("block").distinct(), "block", "left_semi")
+    else:
+        nodes = nodes.withColumn("fresh", F.lit(True))
     shared = nodes.sparkSession.sparkContext.broadcast(lexicon)
 
     def keyed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -642,10 +649,10 @@ def spelling_links(nodes: DataFrame, lexicon: Lexicon) -> DataFrame:
             r["key"] = [k for ks in keys for k in ks]
             yield r
 
-    k = nodes.mapInPandas(keyed, "node bigint, block string, script string, word string, key string")
-    a = k.select("block", "script", "key", F.col("node").alias("a"), F.col("word").alias("wa"))
-    b = k.select("block", "script", "key", F.col("node").alias("b"), F.col("word").alias("wb"))
-    pairs = a.join(b, ["block", "script", "key"]).where("a < b").select("a", "b", "script", "wa", "wb").distinct()
+    k = nodes.mapInPandas(keyed, "node bigint, block string, script string, word string, fresh boolean, key string")
+    a = k.select("block", "script", "key", F.col("node").alias("a"), F.col("word").alias("wa"), F.col("fresh").alias("fa"))
+    b = k.select("block", "script", "key", F.col("node").alias("b"), F.col("word").alias("wb"), F.col("fresh").alias("fb"))
+    pairs = a.join(b, ["block", "script", "key"]).where("a < b and (fa or fb)").select("a", "b", "script", "wa", "wb").distinct()
 
     def check(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
@@ -655,7 +662,15 @@ def spelling_links(nodes: DataFrame, lexicon: Lexicon) -> DataFrame:
     return pairs.mapInPandas(check, "a bigint, b bigint")
 
 
-def resolve(entries: DataFrame, to_simplified: dict, lexicon: Lexicon, rounds: int = 6) -> DataFrame:
+def _spellings(entries: DataFrame) -> DataFrame:
+    """(entry_id, block, script, word, node): the spellings of entries that have a block."""
+    return entries.select("entry_id", "block", F.explode(F.concat(
+        F.transform("latin", lambda w: F.struct(F.lit("latin").alias("script"), w.alias("word"))),
+        F.transform("han", lambda w: F.struct(F.lit("han").alias("script"), w.alias("word"))))).alias("s")).select(
+        "entry_id", "block", "s.script", "s.word", (-F.abs(F.xxhash64("block", "s.script", "s.word") % F.lit(1 << 61)) - 1).alias("node"))
+
+
+def resolve(entries: DataFrame, to_simplified: dict, lexicon: Lexicon) -> DataFrame:
     """(entry_id, work_id, entity): entries with one entity have one number."""
     shared = entries.sparkSession.sparkContext.broadcast(lexicon)
     base = cut_lineage(profiles(once(entries, "entry_id").where("work_id is not null"), to_simplified, lexicon))
@@ -665,17 +680,14 @@ def resolve(entries: DataFrame, to_simplified: dict, lexicon: Lexicon, rounds: i
 
     # Round 1: profiles whose given names are certain; entries meet at their spellings.
     certain = readable.where(sure).withColumn("block", block)
-    spelt = certain.select("entry_id", "block", F.explode(F.concat(
-        F.transform("latin", lambda w: F.struct(F.lit("latin").alias("script"), w.alias("word"))),
-        F.transform("han", lambda w: F.struct(F.lit("han").alias("script"), w.alias("word"))))).alias("s")).select("entry_id", "block", "s.script", "s.word")
-    spelt = cut_lineage(spelt.withColumn("node", -F.abs(F.xxhash64("block", "script", "word") % F.lit(1 << 61)) - 1))
+    spelt = cut_lineage(_spellings(certain))
     nodes = spelt.select("node", "block", "script", "word").distinct()
     unread = base.where("firm is null and text <> ''").withColumn("node", -F.abs(F.xxhash64("work_id", "text") % F.lit(1 << 61)) - 1).select(F.col("entry_id").alias("a"), F.col("node").alias("b"))
     edges = cut_lineage(
         spelt.select(F.col("entry_id").alias("a"), F.col("node").alias("b")).unionByName(spelling_links(nodes, lexicon)).unionByName(unread))
 
     open_ = base.where("firm is not null").where(~sure)
-    for _ in range(rounds):
+    while True:  # ends: a round that goes on has fewer clusters or fewer open entries
         # Merge: a cluster has the spellings of all its entries.
         label = cut_lineage(components(edges))
         found = label.select(F.col("node").alias("entry_id"), F.col("label").alias("cluster"))
@@ -683,18 +695,20 @@ def resolve(entries: DataFrame, to_simplified: dict, lexicon: Lexicon, rounds: i
             F.array_sort(F.collect_set(F.when(F.col("script") == "latin", F.col("word")))).alias("latin"),
             F.array_sort(F.collect_set(F.when(F.col("script") == "han", F.col("word")))).alias("han"))
         merged = cut_lineage(words)
-        # Rematch: clusters of one block that each lack the other's script, or whose spellings are close.
+        # Rematch: clusters of one block that each lack the other's script; open entries that agree with a block's clusters.
         new = _rematch_clusters(merged, shared).unionByName(_rematch_open(open_, certain, merged, found, shared))
         new = cut_lineage(new.distinct())
         if new.isEmpty():
             break
-        # A merged entry brings its spellings to the cluster's block.
-        edges = cut_lineage(label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new.select("a", "b")))
-        placed = new.where("block is not null").select(F.col("a").alias("entry_id"), "block")
-        gained = open_.join(placed.dropDuplicates(["entry_id"]), "entry_id").select("entry_id", "block", F.explode(F.concat(
-            F.transform("latin", lambda w: F.struct(F.lit("latin").alias("script"), w.alias("word"))),
-            F.transform("han", lambda w: F.struct(F.lit("han").alias("script"), w.alias("word"))))).alias("s")).select("entry_id", "block", "s.script", "s.word", F.lit(0).cast("bigint").alias("node"))
+        # A merged entry brings its spellings to the cluster's block, where they meet all spellings.
+        placed = new.where("block is not null").select(F.col("a").alias("entry_id"), "block").distinct()
+        gained = cut_lineage(_spellings(open_.join(placed, "entry_id")))
         spelt = cut_lineage(spelt.unionByName(gained))
+        fresh = gained.select("node", "block", "script", "word").distinct().join(nodes, "node", "left_anti")
+        nodes = cut_lineage(nodes.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True))))
+        edges = cut_lineage(label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new.select("a", "b")).unionByName(
+            gained.select(F.col("entry_id").alias("a"), F.col("node").alias("b"))).unionByName(spelling_links(nodes, lexicon)))
+        nodes = nodes.drop("fresh")
         open_ = cut_lineage(open_.join(placed.select("entry_id").distinct(), "entry_id", "left_anti"))
     # Entries still open meet those with the same reading.
     reading = F.concat_ws("|", "work_id", "firm", F.col("junior").cast("string"), F.to_json("given"))
@@ -726,7 +740,7 @@ def _rematch_clusters(merged: DataFrame, shared) -> DataFrame:
 
 
 def _rematch_open(open_: DataFrame, certain: DataFrame, merged: DataFrame, found: DataFrame, shared) -> DataFrame:
-    """Entries with several readings, joined to the only cluster that agrees with one of them."""
+    """Entries with several readings, joined to the clusters that agree with one of them if they are of one block."""
     reading = open_.select(
         "entry_id", "latin", "han",
         F.explode(F.expr(
@@ -746,8 +760,8 @@ def _rematch_open(open_: DataFrame, certain: DataFrame, merged: DataFrame, found
             yield p.loc[ok, ["a", "b", "block"]]
 
     hits = pairs.mapInPandas(check, LINK)
-    only = hits.groupBy("a").agg(F.countDistinct("b").alias("n"), F.min("b").alias("b"), F.min("block").alias("block")).where("n = 1")
-    return only.select("a", "b", "block")
+    only = hits.groupBy("a").agg(F.countDistinct("block").alias("n")).where("n = 1")
+    return hits.join(only, "a").select("a", "b", "block")
 
 
 def entity_pairs(resolved: DataFrame) -> DataFrame:

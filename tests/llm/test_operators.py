@@ -219,6 +219,18 @@ def test_names_are_linked_by_entity(spark):
     assert resolved.where("entry_id = 13").count() == 1
 
 
+def test_an_open_entry_joins_the_clusters_of_its_only_block(spark):
+    # A. may be Amparo or Aurelia: entries with initials are open.
+    filler = [(1000 + k, f"g{k}", "Aurelia Leocadia Pada", []) for k in range(6)]
+    # Two clusters of one block that only an open entry brings together.
+    between = [(50, "w9", "Amparo Leocadia Ronase", []), (51, "w9", "Amparo Leocadia Ronusok", []), (52, "w9", "A. L. Ronuse", [])]
+    # Clusters of two blocks: the open entry stays alone.
+    apart = [(60, "w7", "Amparo Leocadia Ronase", []), (61, "w7", "Aurelia Leocadia Ronase", []), (62, "w7", "A. L. Ronase", [])]
+    e = _names(spark, between + apart + filler)
+    pairs = [p for p in rows(names.entity_pairs(names.resolve(e, {}, names.learn(e, {})))) if p[1] < 100]
+    assert pairs == [(50, 51), (50, 52), (51, 52)]
+
+
 def test_no_names_at_all(spark):
     e = spark.createDataFrame([], "entry_id bigint, work_id string, canonical string, variants array<string>")
     assert names.resolve(e, {}, names.learn(e, {})).count() == 0
