@@ -14,7 +14,8 @@ each other in transliterations.  Its tables hold only tokens found in a fixed sh
 works, so their size doesn't grow with the corpus.
 
 Spellings are nodes: an entry is linked to its spellings, and spellings of one block are
-linked if they are close, found through keys with one letter left out.  No pairs of entries
+linked if they are close, found through keys with one letter left out, or two in words that
+may differ by two slips.  No pairs of entries
 are formed before the result, so a hot name costs no more than its rows.
 
 Defined results: repeated entries count once; an entry without id or work takes no part; a
@@ -69,7 +70,7 @@ def edit_distance(a: str, b: str, most: int = 3) -> int:
     """Optimal string alignment distance; more than `most` counts as `most` + 1."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most or len(a) > LONGEST:
+    if abs(len(a) - len(b)) > most or max(len(a), len(b)) > LONGEST:
         return most + 1
     prev2: list[int] = []
     prev = list(range(len(b) + 1))
@@ -603,9 +604,13 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def deletions(word: str) -> list[str]:
-    """The word and the word with each letter left out: words one slip apart share one of them."""
-    return [word] if len(word) > LONGEST else list({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
+def deletions(word: str, slips: int = 1) -> list[str]:
+    """The word with up to `slips` letters left out: words that many slips apart share one of them."""
+    found = last = {word}
+    for _ in range(slips if len(word) <= LONGEST else 0):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
+    return list(found)
 
 
 PROFILE = "entry_id bigint, work_id string, firm string, junior boolean, given array<array<string>>, latin array<string>, han array<string>, text string"
@@ -642,8 +647,8 @@ def spelling_links(nodes: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def keyed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            # A key has few words around it: those with one letter more, of one alphabet.
-            keys = [deletions(w if s == "latin" else "".join(map(shared.value.of_class, w))) for s, w in zip(b["script"], b["word"])]
+            # As many letters left out as `close` and `han_close` allow slips: no close pair is missed.
+            keys = [deletions(w, 2 if len(w) >= 6 else 1) if s == "latin" else deletions("".join(map(shared.value.of_class, w))) for s, w in zip(b["script"], b["word"])]
             n = [len(k) for k in keys]
             r = b.loc[b.index.repeat(n)].reset_index(drop=True)
             r["key"] = [k for ks in keys for k in ks]

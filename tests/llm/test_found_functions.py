@@ -183,3 +183,21 @@ def test_distances():
     assert [N.edit_distance(a, b) for a, b in (("abc", "acb"), ("abc", "abc"), ("abcd", "xbcd"), ("a", "abcdef"))] == [1, 0, 1, 4]
     assert N.edit_distance("a" * 100, "a" * 99 + "b") == 4
     assert set(N.deletions("ab")) == {"ab", "a", "b"}
+
+
+def test_close_words_share_a_key():
+    rng = random.Random(4)
+    slips = (lambda w, i: w[:i] + rng.choice("abc") + w[i + 1 :], lambda w, i: w[:i] + w[i + 1 :], lambda w, i: w[:i] + rng.choice("abc") + w[i:], lambda w, i: w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :])
+    keys = lambda w: set(N.deletions(w, 2 if len(w) >= 6 else 1))
+    assert N.close("famotaz", "femotez") and keys("famotaz") & keys("femotez")
+    for _ in range(3000):
+        a = b = "".join(rng.choices("abc", k=rng.randint(3, 9)))
+        for _ in range(2):
+            b = rng.choice(slips)(b, rng.randrange(len(b) + 1))
+        if N.close(a, b):
+            assert keys(a) & keys(b), (a, b)
+
+
+def test_two_slips_link_spellings(spark):
+    nodes = spark.createDataFrame([(1, "k", "latin", "famotaz"), (2, "k", "latin", "femotez"), (3, "l", "latin", "famotaz"), (4, "k", "latin", "fumutuz")], "node bigint, block string, script string, word string")
+    assert [tuple(r) for r in N.spelling_links(nodes, N.Lexicon()).collect()] == [(1, 2)]
