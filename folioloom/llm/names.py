@@ -10,8 +10,9 @@ script.  Rounds go on until none merges.
 The lexicon that reads names is learned from the entries, over all of them: which tokens are
 given names (they occur in many works), which nicknames and misspellings stand beside which
 given name, which Chinese parts stand beside which Latin name, and which characters replace
-each other in transliterations.  Its tables hold only tokens found in a fixed share of the
-works, so their size doesn't grow with the corpus.
+each other in transliterations.  Its tables hold what occurs twice, whatever the size of the
+corpus; one with more than 500,000 rows is an error.  A given name that isn't learned stands
+for itself, as it is spelt.
 
 Spellings are nodes: an entry is linked to its spellings, and spellings of one block are
 linked if they are close, found through keys with one letter left out, or two in words that
@@ -334,7 +335,7 @@ def _counted(rows: DataFrame, f, keys: str) -> DataFrame:
 
 
 def learn(entries: DataFrame, to_simplified: dict) -> Lexicon:
-    """The lexicon of all entries.  What is collected occurs in a fixed share of the works."""
+    """The lexicon of all entries.  What is collected occurs twice, at every size; beyond a limit it is an error."""
     entries = entries.where("work_id is not null")
     works = entries.select("work_id").distinct().count()
 
@@ -349,8 +350,7 @@ def learn(entries: DataFrame, to_simplified: dict) -> Lexicon:
                 if other != h:
                     yield h, other
 
-    least = max(2, works // 200)
-    rows = bounded_rows(_counted(entries, latin_heads, "").where((F.col("works") >= least) | ((F.col("z") != "") & (F.col("n") >= 2) & (F.col("works") >= least))), 500_000, "the lexicon's given names")
+    rows = bounded_rows(_counted(entries, latin_heads, "").where("works >= 2"), 500_000, "the lexicon's given names")
     n_of = {r.a: (r.n, r.works) for r in rows if not r.z}
     beside: dict[str, list[tuple[int, str]]] = {}
     for r in rows:
@@ -385,7 +385,7 @@ def learn(entries: DataFrame, to_simplified: dict) -> Lexicon:
                     if len(part) > 1:
                         yield part, code
 
-    rows = bounded_rows(_counted(entries, chinese_parts, "").where((F.col("works") >= least) | (F.lit(works < 400) & (F.col("n") >= 2))), 500_000, "the lexicon's Chinese parts")
+    rows = bounded_rows(_counted(entries, chinese_parts, "").where(F.col("n") >= 2), 500_000, "the lexicon's Chinese parts")
     by_part: dict[str, list[tuple[int, str]]] = {}
     for r in rows:
         by_part.setdefault(r.a, []).append((r.n, r.z))
@@ -408,7 +408,7 @@ def learn(entries: DataFrame, to_simplified: dict) -> Lexicon:
                         if x != y:
                             yield min(x, y), max(x, y)
 
-    rows = bounded_rows(_counted(entries, swapped, "").where((F.col("works") >= least) | (F.lit(works < 400) & (F.col("n") >= 2))), 500_000, "the lexicon's characters")
+    rows = bounded_rows(_counted(entries, swapped, "").where(F.col("n") >= 2), 500_000, "the lexicon's characters")
     swaps = {p for r in rows for p in ((r.a, r.z), (r.z, r.a))}
     by_code: dict[str, list[str]] = {}
     for part, code in chinese.items():
@@ -428,7 +428,7 @@ def learn(entries: DataFrame, to_simplified: dict) -> Lexicon:
                 for latin in p.latin:
                     yield han[0], latin[0]
 
-    rows = bounded_rows(_counted(entries, heads, "").where((F.col("works") >= least) | (F.lit(works < 400) & (F.col("n") >= 2))), 500_000, "the lexicon's first characters")
+    rows = bounded_rows(_counted(entries, heads, "").where(F.col("n") >= 2), 500_000, "the lexicon's first characters")
     total: dict[str, int] = {}
     for r in rows:
         total[r.a] = total.get(r.a, 0) + r.n
@@ -475,6 +475,7 @@ class Profile:
     given: list[frozenset[str]]
     latin: set[str]
     han: set[str]
+    own: list[str] = field(default_factory=list)  # the given names as spelt
 
 
 @lru_cache(200_000)
@@ -526,7 +527,7 @@ def read(text: str, lexicon: Lexicon, railway: bool = True) -> Profile | None:
             parts = segment(parts[0], lexicon)
         if not 2 <= len(parts) <= 3:
             return None
-        return Profile("", c.junior, [lexicon.han(p) for p in parts[:-1]], set(), {parts[-1]})
+        return Profile("", c.junior, [lexicon.han(p) for p in parts[:-1]], set(), {parts[-1]}, list(parts[:-1]))
     form = read_latin(text, railway)
     if form is None:
         return None
@@ -536,7 +537,7 @@ def read(text: str, lexicon: Lexicon, railway: bool = True) -> Profile | None:
     if cut is None:
         return None
     given, surnames = cut
-    return Profile("", form.junior, [lexicon.latin(t) for t in given], {surnames[0]}, set())
+    return Profile("", form.junior, [lexicon.latin(t) for t in given], {surnames[0]}, set(), list(given))
 
 
 def profile(canonical: str | None, variants, to_simplified: dict, lexicon: Lexicon) -> Profile | None:
@@ -560,7 +561,8 @@ def profile(canonical: str | None, variants, to_simplified: dict, lexicon: Lexic
         if q is None or q.firm != p.firm or len(q.given) != len(p.given) or q.junior and not p.junior:
             continue
         both = [a & b if a and b else a or b for a, b in zip(p.given, q.given)]
-        if any(not x for x in both):
+        # Where neither is learned, the same spelling agrees.
+        if any(not x and (a or b or s != t) for x, a, b, s, t in zip(both, p.given, q.given, p.own, q.own)):
             continue
         if p.latin and q.latin and not any(close(a, b) for a in p.latin for b in q.latin):
             continue
@@ -570,6 +572,7 @@ def profile(canonical: str | None, variants, to_simplified: dict, lexicon: Lexic
         # A variant without the generation may mean the parent: its spelling of the family's name holds all the same.
         p.latin |= q.latin
         p.han |= q.han
+    p.given = [g or frozenset([s]) for g, s in zip(p.given, p.own)]
     return p
 
 

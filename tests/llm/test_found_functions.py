@@ -198,6 +198,20 @@ def test_close_words_share_a_key():
             assert keys(a) & keys(b), (a, b)
 
 
+def test_given_names_not_learned_stand_for_themselves():
+    known = N.Lexicon({"amparo": "amparo"})
+    p = N.profile("Xavier Ronase", ["Xavier Ronasse", "Quirina Ronaze"], {}, known)
+    assert p.given == [{"xavier"}] and p.latin == {"ronase", "ronasse"}
+    assert N.profile("Xaveir Ronase", ["Amparo Ronase"], {}, known).given == [{"amparo"}]
+
+
+def test_what_one_work_shows_twice_is_learned_at_any_size(spark):
+    data = [(i, f"w{i}", "Amparo Pada", ["安帕罗·帕达"]) for i in range(420)]
+    data += [(1000 + i, "w1", "Amparo Ronase", ["安帕罗·罗纳塞", "安帕罗·罗娜塞"]) for i in range(2)]
+    lexicon = N.learn(spark.createDataFrame(data, "entry_id bigint, work_id string, canonical string, variants array<string>"), {})
+    assert ("纳", "娜") in lexicon.swaps and lexicon.initial["罗"] == "r"
+
+
 def test_two_slips_link_spellings(spark):
     nodes = spark.createDataFrame([(1, "k", "latin", "famotaz"), (2, "k", "latin", "femotez"), (3, "l", "latin", "famotaz"), (4, "k", "latin", "fumutuz")], "node bigint, block string, script string, word string")
     assert [tuple(r) for r in N.spelling_links(nodes, N.Lexicon()).collect()] == [(1, 2)]
