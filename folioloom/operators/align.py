@@ -163,15 +163,17 @@ def share_out(ref_weights: list[float], unit_weights: list[float]) -> list[tuple
 
 
 def align_groups(chapters: DataFrame, keys: list[str], ref_lang: str, target_lang: str, profile: str = "quotes", split=None) -> DataFrame:
-    """(keys, row, ref, target_idx, target): the targets of every row of the reference side.
+    """(keys, row, ref, target_idx, target, aligned): the targets of every row of the reference side.
 
     Without `split` each row of a group gets the whole group (D2).  With `split`, a function
     from a text to its sentences, the group's sentences are shared out among the rows (D3, D4).
-    A target index is a pair (paragraph, sentence), sentence 0 for a whole paragraph.
+    A target index is a pair (paragraph, sentence), sentence 0 for a whole paragraph.  In a chapter
+    that can't be aligned, each row gets the whole other side, with and without `split`, and
+    `aligned` is false.
     """
     fields = {f.name: f.dataType.simpleString() for f in chapters.schema.fields}
-    ddl = ", ".join(f"{k} {fields[k]}" for k in keys) + ", row int, ref string, target_idx array<struct<paragraph:int,sentence:int>>, target array<string>"
-    columns = [*keys, "row", "ref", "target_idx", "target"]
+    ddl = ", ".join(f"{k} {fields[k]}" for k in keys) + ", row int, ref string, target_idx array<struct<paragraph:int,sentence:int>>, target array<string>, aligned boolean"
+    columns = [*keys, "row", "ref", "target_idx", "target", "aligned"]
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in rows:
@@ -181,25 +183,25 @@ def align_groups(chapters: DataFrame, keys: list[str], ref_lang: str, target_lan
                 if not len(ref):
                     continue
                 if not len(target):
-                    out += [(*key, k, t, [], []) for k, t in enumerate(ref, 1)]
+                    out += [(*key, k, t, [], [], True) for k, t in enumerate(ref, 1)]
                     continue
                 weights = [weight(t, ref_lang, profile) for t in ref]
                 try:
                     steps = best_steps(np.array(weights), np.array([weight(t, target_lang, profile) for t in target]), GROUPS)
                 except Unalignable:
-                    continue
+                    steps = [(len(ref), len(target), None)]
                 x = y = 0
-                for a, c, _ in steps:
+                for a, c, cost in steps:
                     group = [({"paragraph": int(i), "sentence": 0}, t) for i, t in zip(row.target_idx[y : y + c], target[y : y + c])]
                     parts = [group] * a
-                    if split and a > 1:
+                    if split and a > 1 and cost is not None:
                         units = []
                         for at, text in group:
                             pieces = split(text)
                             units += [(at, text)] if len(pieces) <= 1 else [({"paragraph": at["paragraph"], "sentence": k}, s) for k, s in enumerate(pieces, 1)]
                         parts = [units[s:e] for s, e in share_out(weights[x : x + a], [weight(t, target_lang, profile) for _, t in units])]
                     for k, part in enumerate(parts):
-                        out.append((*key, x + k + 1, ref[x + k], [i for i, _ in part], [t for _, t in part]))
+                        out.append((*key, x + k + 1, ref[x + k], [i for i, _ in part], [t for _, t in part], cost is not None))
                     x, y = x + a, y + c
             yield pd.DataFrame(out, columns=columns)
 

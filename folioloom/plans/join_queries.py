@@ -205,7 +205,7 @@ def align_summary(spark, sf_dir) -> DataFrame:
 @query()
 def align_replicate(spark, sf_dir) -> DataFrame:
     """Each row gets its whole group of targets."""
-    return A.align_groups(_sides(spark, sf_dir), ["chapter_id"], "zh", "en").select("chapter_id", "row", "ref", F.array_join("target", " ").alias("target"))
+    return A.align_groups(_sides(spark, sf_dir), ["chapter_id"], "zh", "en").select("chapter_id", "row", "ref", F.array_join("target", " ").alias("target"), "aligned")
 
 
 @query()
@@ -214,7 +214,7 @@ def align_distribute(spark, sf_dir) -> DataFrame:
     def split(text: str) -> list[str]:
         return S.closed_pieces(" ".join(text.split()), ".!?", "”’»\"')）]", frozenset(S.ABBREVIATIONS["western"].split()), False, False)
 
-    return A.align_groups(_sides(spark, sf_dir), ["chapter_id"], "zh", "en", split=split).select("chapter_id", "row", "ref", F.array_join("target", " ").alias("target"))
+    return A.align_groups(_sides(spark, sf_dir), ["chapter_id"], "zh", "en", split=split).select("chapter_id", "row", "ref", F.array_join("target", " ").alias("target"), "aligned")
 
 
 @query("""

@@ -67,6 +67,13 @@ def test_groups_replicate_and_share_out(spark):
     assert shared == [(1, ["One two."]), (2, ["Three four."])]
 
 
+def test_groups_keep_chapters_that_cannot_be_aligned(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3], ["甲", "乙", "丙"], [7], ["One. Two."]), (2, [1], ["甲"], list(range(6)), ["x"] * 6), (3, [1], ["甲"], [4], ["y"])], CHAPTER)
+    for split in (None, lambda t: t.split()):
+        got = rows(A.align_groups(df, ["chapter"], "zh", "en", split=split).select("chapter", "row", "ref", "target", "aligned"))
+        assert got == [(1, 1, "甲", ["One. Two."], False), (1, 2, "乙", ["One. Two."], False), (1, 3, "丙", ["One. Two."], False), (2, 1, "甲", ["x"] * 6, False), (3, 1, "甲", ["y"], True)]
+
+
 def test_share_out_leaves_nothing_over():
     for n, m in [(2, 1), (3, 3), (2, 7)]:
         cuts = A.share_out([1.0] * n, [1.0] * m)
