@@ -5,10 +5,16 @@ undominated fillings of the room beside it, those with the least waste first; a
 where its waste alone needs more containers than the best solution so far.  Best-fit
 decreasing gives the first solution.
 
+A filling is dominated if another one can take its place: if a document left out fits where
+some of the filling's documents (or the empty room) are, and is at least as large as they are.
+Fillings are enumerated lazily, waste by waste, and all undominated ones of a node are tried,
+each as often as the counts allow, then less often.  The search ends when nothing is left to
+try, when the lower bound is met, or when it has taken its steps (`STEPS`, `NODE_STEPS`).
+
 Documents of one size can stand for each other, so the search runs on the counts by size: at
-most `capacity` numbers for each capacity, whatever the corpus.  A filling is applied as often
-as the counts allow.  The result is a list of fillings; each document gets its container from
-its rank among the documents of its size, so no task ever holds a group of documents.
+most `capacity` numbers for each capacity, whatever the corpus, in one task a capacity.  The
+result is a list of fillings; each document gets its container from its rank among the
+documents of its size, so no task ever holds a group of documents.
 
 A document over the capacity is cut into full containers and a rest, which is packed like any
 other document.  Defined results: a document without tokens (null, empty or blank text) goes
@@ -18,19 +24,20 @@ containers; repeated capacities count once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioloom.llm.common import bounded_rows, cut_lineage, ranked, table
 from folioloom.llm.tokens import with_tokens
 
-#: Fillings tried at a node, and nodes of one search.
-WIDTH, NODES = 3, 4000
+#: Steps of one search, and of the fillings of one node: an item put into a filling is a step,
+#: or several where capacities are large, as a step's time grows with the capacity.
+STEPS, NODE_STEPS, STEP_BITS = 400_000, 4_000, 1 << 16
 
 
 @dataclass
@@ -42,6 +49,7 @@ class Filling:
 @dataclass
 class Packing:
     fillings: list[Filling] = field(default_factory=list)
+    proved: bool = True  # no packing has fewer containers
 
     @property
     def containers(self) -> int:
@@ -50,116 +58,131 @@ class Packing:
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Containers that any packing needs: by volume, and by large items that can't share (L2)."""
-    total = sum(s * n for s, n in counts.items())
-    best = -(-total // capacity)
-    half = sum(n for s, n in counts.items() if 2 * s > capacity)
-    sizes = sorted(counts)
-    for k in [s for s in sizes if 2 * s <= capacity][:: max(1, len(sizes) // 64)]:
-        alone = sum(n for s, n in counts.items() if s > capacity - k)
-        mid = [(s, n) for s, n in counts.items() if capacity - k >= s > capacity / 2]
-        n_mid = sum(n for _, n in mid)
-        room = n_mid * capacity - sum(s * n for s, n in mid)
-        small = sum(s * n for s, n in counts.items() if k <= s <= capacity / 2)
-        best = max(best, alone + n_mid + max(0, -(-(small - room) // capacity)))
-    return max(best, half)
-
-
-def fillings(room: int, sizes: np.ndarray, counts: np.ndarray, width: int = WIDTH, tries: int = 400) -> list[tuple[int, ...]]:
-    """The undominated fillings of `room`, by waste and then by larger sizes; at most `width`.
-
-    A filling is dominated by another whose items can take the place of its items, group by
-    group, in the same room: among fillings of one waste that with the larger first items is
-    kept, and a filling to which a further item could be added is none.
+    if not counts:
+        return 0
+    s = np.array(sorted(counts), np.int64)
+    n = np.array([counts[int(x)] for x in s], np.int64)
+    number, volume = np.concatenate([[0], n.cumsum()]), np.concatenate([[0], (s * n).cumsum()])
+    half = int(np.searchsorted(s, capacity // 2, "right"))  # those from here on exceed half a container
+    k = np.concatenate([[0], s[:half]])
+    at_k, far = np.searchsorted(s, k, "left"), np.searchsorted(s, capacity - k, "right")
+    alone, middle = number[-1] - number[far], number[far] - number[half]
+    room = middle * capacity - (volume[far] - volume[half])
+    small = volume[half] - volume[at_k]
+    return int((alone + middle + np.maximum(0, -(-(small - room) // capacity))).max())
+
+
+def _spread(sums: int, waste: int) -> int:
+    """The bits of `sums` moved up by 1 to `waste`."""
+    if not waste:
+        return 0
+    out, width = sums << 1, 1
+    while width < waste:
+        step = min(width, waste - width)
+        out |= out << step
+        width += step
+    return out
+
+
+def fillings(room: int, sizes: np.ndarray, counts: np.ndarray, slack: Callable[[], int], step: Callable[[], bool]) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of `room` that waste at most `slack()`, by waste and then by larger items.
+
+    Sets of sizes and of sums are integers with a bit for each.  A partial filling is given up
+    as soon as it is dominated: later items are no larger than those it holds, so they can't
+    change that.  Ends early if `step()` says so.
     """
-    found: dict[tuple[int, ...], int] = {}
-    budget = tries
-
-    def add(prefix: tuple[int, ...], left: int, upto: int) -> None:
-        nonlocal budget
-        while True:
-            at = min(int(np.searchsorted(sizes, left, "right")), upto + 1) - 1
-            while at >= 0 and counts[at] <= 0:
-                at -= 1
-            if at < 0:
-                found.setdefault(prefix, left)
-                return
-            if left - sizes[at] == 0:
-                found.setdefault((*prefix, int(sizes[at])), 0)
+    fit = (sizes <= room) & (counts > 0)
+    sizes, counts = sizes[fit], counts[fit]
+    left_of = dict(zip(sizes.tolist(), counts.tolist()))
+    volume = np.concatenate([[0], (sizes * counts).cumsum()])
+    bits = np.zeros(room + 1, np.uint8)
+    bits[sizes] = 1
+    free = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    if not free:
+        if room <= slack():
+            yield ()
+        return
+    waste = max(0, room - int(volume[-1]))
+    while waste <= min(slack(), room - 1):
+        chosen: list[int] = []
+        frames: list[list[int]] = []  # what is left to fill, the next item to try, sums of one or more items, of two or more
+
+        def enter(left: int, last: int, sums: int, sums2: int) -> None:
+            top = (free & ((2 << min(last, left + waste)) - 1)).bit_length() - 1
+            # An item left out that is as large as the rest takes its place, unless it is the rest.
+            frames.append([left, top if top <= left else 0, sums, sums2])
+
+        enter(room - waste, room, 0, 0)
+        while frames:
+            frame = frames[-1]
+            left, y, sums, sums2 = frame
+            if y <= 0 or int(volume[np.searchsorted(sizes, y, "right")]) < left:
+                frames.pop()
+                if chosen:
+                    x = chosen.pop()
+                    left_of[x] += 1
+                    free |= 1 << x
+                continue
+            frame[1] = 0 if y == left else (free & ((1 << y) - 1)).bit_length() - 1
+            if not step():
                 return
-            break
-        tried = 0
-        while at >= 0 and tried < width and budget > 0:
-            if counts[at] > 0:
-                budget -= 1
-                tried += 1
-                counts[at] -= 1
-                add((*prefix, int(sizes[at])), left - int(sizes[at]), at)
-                counts[at] += 1
-                if any(w == 0 for w in found.values()) and len(found) >= width:
-                    return
-            at -= 1
-
-    def pairs() -> None:
-        """Two items that fill the room exactly, the largest first."""
-        present = sizes[counts > 0]
-        for y in present[present <= room][::-1][:256].tolist():
-            rest = room - y
-            if rest > y:
-                break
-            k = int(np.searchsorted(sizes, rest))
-            if rest and k < len(sizes) and sizes[k] == rest and counts[k] > (1 if rest == y else 0):
-                found.setdefault((y, rest), 0)
-                if len(found) >= width:
-                    return
-
-    if room <= 0:
-        return [()]
-    pairs()
-    if len(found) < width:
-        add((), room, len(sizes) - 1)
-    order = sorted(found.items(), key=lambda kv: (kv[1], tuple(-s for s in kv[0])))
-    return [f for f, _ in order[:width]] or [()]
-
-
-def _apply(counts: np.ndarray, where: dict[int, int], sizes: tuple[int, ...]) -> int:
-    """Takes a filling from the counts as often as they allow."""
+            left_of[y] -= 1
+            if not left_of[y]:
+                free &= ~(1 << y)
+            sums, sums2 = sums | sums << y | 1 << y, sums2 | sums << y
+            if not (sums2 | _spread(sums, waste)) & free:
+                if left > y:
+                    chosen.append(y)
+                    enter(left - y, y, sums, sums2)
+                    continue
+                if not free & ((2 << waste) - 1):
+                    yield (*chosen, y)
+            left_of[y] += 1
+            free |= 1 << y
+        waste += 1
+
+
+def _most(have: dict[int, int], sizes: tuple[int, ...]) -> int:
+    """How often the counts allow a filling."""
     need: dict[int, int] = {}
     for s in sizes:
-        need[where[s]] = need.get(where[s], 0) + 1
-    times = min(int(counts[k]) // n for k, n in need.items())
-    for k, n in need.items():
-        counts[k] -= n * times
-    return times
+        need[s] = need.get(s, 0) + 1
+    return min(have[s] // k for s, k in need.items())
+
+
+def greedy(sizes: np.ndarray, n: np.ndarray, room: int, upto: int) -> list[int]:
+    """Items for `room`, always the largest that fits; `n` is what is left of sizes[: upto + 1]."""
+    out, at = [], upto
+    while True:
+        at = min(at, int(np.searchsorted(sizes, room, "right")) - 1)
+        while at >= 0 and n[at] <= 0:
+            at -= 1
+        if at < 0:
+            return out
+        take = min(int(n[at]), room // int(sizes[at]))
+        out += [int(sizes[at])] * take
+        room -= take * int(sizes[at])
+        at -= 1
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Packing:
     """Decreasing, each container completed by the largest item that fits: the first solution."""
     sizes = np.array(sorted(counts), np.int64)
     n = np.array([counts[int(s)] for s in sizes], np.int64)
-    where = {int(s): k for k, s in enumerate(sizes)}
-    out = Packing()
+    out = Packing(proved=False)
     for k in range(len(sizes) - 1, -1, -1):
         while n[k] > 0:
             n[k] -= 1
-            chosen, room, at = [int(sizes[k])], capacity - int(sizes[k]), k
-            while True:
-                at = min(at, int(np.searchsorted(sizes, room, "right")) - 1)
-                while at >= 0 and n[at] <= 0:
-                    at -= 1
-                if at < 0:
-                    break
-                take = min(int(n[at]), room // int(sizes[at]))
-                chosen += [int(sizes[at])] * take
-                n[at] -= take
-                room -= take * int(sizes[at])
-                at -= 1
-            for s in chosen:
-                n[where[s]] += 1
-            out.fillings.append(Filling(tuple(chosen), _apply(n, where, tuple(chosen))))
+            chosen = (int(sizes[k]), *greedy(sizes, n, capacity - int(sizes[k]), k))
+            n[k] += 1
+            at, need = np.unique(np.searchsorted(sizes, chosen), return_counts=True)
+            times = int((n[at] // need).min())
+            n[at] -= need * times
+            out.fillings.append(Filling(chosen, times))
     return out
 
 
-def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packing:
+def complete(counts: dict[int, int], capacity: int, steps: int = STEPS, node_steps: int = NODE_STEPS) -> Packing:
     """Bin completion over the counts by size (0 < size <= capacity)."""
     counts = {s: n for s, n in counts.items() if n > 0}
     if not counts:
@@ -167,52 +190,76 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packi
     bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     sizes = np.array(sorted(counts), np.int64)
-    where = {int(s): k for k, s in enumerate(sizes)}
-    n = np.array([counts[int(s)] for s in sizes], np.int64)
-    total = int((sizes * n).sum())
-    # Depth-first without recursion: a frame holds the fillings still to be tried at its node.
-    path: list[tuple[Filling, int]] = []
-    used = waste = visited = 0
-    frames: list[list[tuple[int, ...]]] = []
-
-    def options() -> list[tuple[int, ...]]:
-        k = int(np.flatnonzero(n > 0)[-1])
+    have = dict(counts)
+    total = sum(s * n for s, n in counts.items())
+    price = 1 + capacity // STEP_BITS
+    spent = used = waste = 0
+    exact = True
+
+    def slack() -> int:
+        """Waste that still allows one container less than the best solution."""
+        return (best.containers - 1) * capacity - total - waste
+
+    def options(before: tuple[int, ...] | None) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Fillings with the largest item left and how often: as often as possible first.
+
+        `before` was used as often as it is to be used.
+        """
+        nonlocal spent, exact
+        n = np.array([have[s] for s in sizes.tolist()], np.int64)
+        k = int(np.flatnonzero(n)[-1])
         x = int(sizes[k])
         n[k] -= 1
-        out = [(x, *f) for f in fillings(capacity - x, sizes, n)]
-        n[k] += 1
-        return out[::-1]
-
-    while best.containers > bound:
-        if n.any():
-            # Waste so far, spread over whole containers, must leave room for a better solution.
-            fits = total + waste <= (best.containers - 1) * capacity
-            if fits and (visited < nodes or not frames or len(frames) == len(path) + 1):
-                frames.append(options())
-                visited += 1
-            elif not fits:
-                frames.append([])
-        else:
-            if used < best.containers:
-                best = Packing([f for f, _ in path])
-            frames.append([])
-        # Back to the last node with a filling to try.
-        while frames and (not frames[-1] or (visited >= nodes and len(frames) <= len(path))):
+        mine = 0
+
+        def step() -> bool:
+            nonlocal spent, mine
+            mine += price
+            spent += price
+            return mine <= node_steps and spent <= steps
+
+        found = False
+        for f in fillings(capacity - x, sizes, n, slack, step):
+            f = (x, *f)
+            if f != before:
+                for times in range(_most(have, f), 0, -1):
+                    found = True
+                    yield f, times
+        if mine > node_steps or spent > steps:
+            exact = False
+            if not found:  # what best-fit would do
+                f = (x, *greedy(sizes, n, capacity - x, k))
+                yield f, _most(have, f)
+
+    # Depth-first without recursion: a frame yields what is still to be tried at its node.
+    path: list[Filling] = []
+    frames: list[Iterator[tuple[tuple[int, ...], int]]] = [options(None)]
+    dived = False  # the first descent goes to its end
+    while frames and best.containers > bound and (spent <= steps or not dived):
+        move = next(frames[-1], None) if slack() >= 0 else None
+        if move is None:
+            dived = True
             frames.pop()
             if path:
-                f, w = path.pop()
+                f = path.pop()
                 for s in f.sizes:
-                    n[where[s]] += f.times
+                    have[s] += f.times
                 used -= f.times
-                waste -= w
-        if not frames:
-            break
-        f = frames[-1].pop()
-        times = _apply(n, where, f)
-        w = times * (capacity - sum(f))
-        path.append((Filling(f, times), w))
-        used += times
-        waste += w
+                waste -= f.times * (capacity - sum(f.sizes))
+            continue
+        f = Filling(*move)
+        for s in f.sizes:
+            have[s] -= f.times
+        path.append(f)
+        used += f.times
+        waste += f.times * (capacity - sum(f.sizes))
+        if not any(have.values()):
+            if used < best.containers:
+                best = Packing(list(path), False)
+            frames.append(iter(()))
+        else:
+            frames.append(options(f.sizes))
+    best.proved = best.containers == bound or exact and not frames
     return best
 
 
@@ -226,22 +273,20 @@ def items(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(r.capacity_id).alias("capacity_id"), F.lit(r.capacity_tokens).alias("capacity")) for r in rows])
     if not rows:
         pairs = F.expr("cast(array() as array<struct<capacity_id:string,capacity:int>>)")
-    t, c = F.col("tokens"), F.col("cap.capacity")
     cut = sizes.select("doc_id", "tokens", F.explode(pairs).alias("cap")).select(
         "cap.capacity_id", "cap.capacity", "doc_id", "tokens",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest((t + c - 1).cast("bigint") / c - 1, F.lit(0)).cast("bigint"))).alias("piece"))
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.expr("(tokens + cap.capacity - 1) div cap.capacity - 1"), F.lit(0)).cast("bigint"))).alias("piece"))
     return cut.withColumn("start", F.col("piece") * F.col("capacity")).withColumn("size", F.least(F.col("tokens") - F.col("start"), F.col("capacity"))).drop("tokens")
 
 
-def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
-    """(capacity_id, container, doc_id, piece, start_token, tokens) of (doc_id, tokens)."""
-    every = items(sizes, capacities)
-    places = ranked(every.where("size > 0"), ["capacity_id", "capacity", "size"], ["doc_id", "piece"])
-    places = cut_lineage(places)
-    # At most `capacity` rows for each capacity.
-    tally = places.groupBy("capacity_id", "capacity", "size").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    plans: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for name, own in tally.groupby("capacity_id"):
+def plans(tally: DataFrame) -> DataFrame:
+    """(capacity_id, size, first, base, proved): where the documents of a size go, by their rank.
+
+    `tally` is (capacity_id, capacity, size, n), at most `capacity` rows for each capacity.
+    Documents of a size from rank `first` on fill the containers from `base` on, one each.
+    """
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
         packing = complete(dict(zip(own["size"].tolist(), own["n"].tolist())), int(own["capacity"].iloc[0]))
         base, taken, slots = 0, {}, []
         for f in packing.fillings:
@@ -249,10 +294,43 @@ def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
                 slots.append((s, taken.get(s, 0), base))
                 taken[s] = taken.get(s, 0) + f.times
             base += f.times
-        slots.sort()
-        plans[name] = tuple(np.array([x[i] for x in slots], np.int64) for i in range(3))
-    # As many rows as fillings have items: bounded by the capacities, not by the corpus.
-    shared = sizes.sparkSession.sparkContext.broadcast(plans)
+        return pd.DataFrame(slots, columns=["size", "first", "base"]).assign(capacity_id=own["capacity_id"].iloc[0], proved=packing.proved)[["capacity_id", "size", "first", "base", "proved"]]
+
+    return tally.groupBy("capacity_id").applyInPandas(run, "capacity_id string, size bigint, first bigint, base bigint, proved boolean")
+
+
+#: Slots sent to all executors, 24 bytes each; more of them are joined by stretches of `STRETCH` ranks.
+MOST_SLOTS, STRETCH = 2_000_000, 16
+
+
+def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
+    """(capacity_id, container, doc_id, piece, start_token, tokens, proved) of (doc_id, tokens).
+
+    `proved`: no packing of that capacity has fewer containers.
+    """
+    every = items(sizes, capacities)
+    places = cut_lineage(ranked(every.where("size > 0"), ["capacity_id", "capacity", "size"], ["doc_id", "piece"]))
+    slots = cut_lineage(plans(places.groupBy("capacity_id", "capacity", "size").agg(F.count(F.lit(1)).alias("n"))))
+    own = places.select("capacity_id", "doc_id", "piece", "start", "size", "rank")
+    if slots.count() <= MOST_SLOTS:
+        placed = _place_by_table(own, slots.toPandas())
+    else:
+        placed = _place_by_join(own, slots)
+    none = every.where("size <= 0").select(
+        "capacity_id", F.lit(0).cast("bigint").alias("container"), "doc_id", "piece", F.col("start").alias("start_token"), F.lit(0).cast("bigint").alias("tokens"))
+    # A capacity that holds only documents without tokens has nothing to prove.
+    sure = slots.groupBy("capacity_id").agg(F.min("proved").alias("proved"))
+    return placed.unionByName(none).join(F.broadcast(sure), "capacity_id", "left").withColumn("proved", F.coalesce("proved", F.lit(True)))
+
+
+PLACED = "capacity_id string, container bigint, doc_id bigint, piece bigint, start_token bigint, tokens bigint"
+
+
+def _place_by_table(places: DataFrame, slots: pd.DataFrame) -> DataFrame:
+    tables = {}
+    for name, own in slots.sort_values(["size", "first"]).groupby("capacity_id"):
+        tables[name] = own["size"].to_numpy(np.int64), own["first"].to_numpy(np.int64), own["base"].to_numpy(np.int64)
+    shared = places.sparkSession.sparkContext.broadcast(tables)
 
     def place(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in rows:
@@ -260,25 +338,39 @@ def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
             for name, at in b.groupby("capacity_id").indices.items():
                 size, first, base = shared.value[name]
                 mine, rank = b["size"].to_numpy(np.int64)[at], b["rank"].to_numpy(np.int64)[at]
-                # Slots are ordered by (size, first rank): the last one not behind (size, rank).
-                k = np.searchsorted(size * (1 << 44) + first, mine * (1 << 44) + rank, "right") - 1
-                container[at] = base[k] + rank - first[k]
+                # Among the slots and documents in the order of (size, rank), the last slot not behind a document.
+                order = np.lexsort((np.repeat([0, 1], [len(size), len(at)]), np.concatenate([first, rank]), np.concatenate([size, mine])))
+                is_slot = order < len(size)
+                k = order[np.maximum.accumulate(np.where(is_slot, np.arange(len(order)), 0))][~is_slot]
+                d = order[~is_slot] - len(size)
+                container[at[d]] = base[k] + rank[d] - first[k]
             yield pd.DataFrame({"capacity_id": b["capacity_id"], "container": container, "doc_id": b["doc_id"], "piece": b["piece"], "start_token": b["start"], "tokens": b["size"]})
 
-    placed = places.select("capacity_id", "doc_id", "piece", "start", "size", "rank").mapInPandas(
-        place, "capacity_id string, container bigint, doc_id bigint, piece bigint, start_token bigint, tokens bigint")
-    none = every.where("size <= 0").select("capacity_id", F.lit(0).cast("bigint").alias("container"), "doc_id", "piece", F.col("start").alias("start_token"), F.lit(0).cast("bigint").alias("tokens"))
-    return placed.unionByName(none)
+    return places.mapInPandas(place, PLACED)
+
+
+def _place_by_join(places: DataFrame, slots: DataFrame) -> DataFrame:
+    """The same without a table on every executor; a stretch of ranks meets at most as many slots."""
+    following = Window.partitionBy("capacity_id", "size").orderBy("first")  # as many as fillings have a size, not as documents
+    ranges = slots.withColumn("upto", F.lead("first").over(following)).withColumn(
+        "last", F.coalesce(F.floor((F.col("upto") - 1) / STRETCH), F.floor(F.col("first") / STRETCH))).withColumn("open", F.col("upto").isNull())
+    closed = ranges.where("not open").withColumn("stretch", F.explode(F.sequence(F.floor(F.col("first") / STRETCH), "last")))
+    near = places.withColumn("stretch", F.floor(F.col("rank") / STRETCH)).join(closed.select("capacity_id", "size", "first", "upto", "base", "stretch"), ["capacity_id", "size", "stretch"]).where(
+        "rank >= first and rank < upto")
+    # The last slot of a size takes all the rest: one for each size.
+    rest = places.join(ranges.where("open").select("capacity_id", "size", "first", "base"), ["capacity_id", "size"]).where("rank >= first")
+    columns = ["capacity_id", (F.col("base") + F.col("rank") - F.col("first")).alias("container"), "doc_id", "piece", F.col("start").alias("start_token"), F.col("size").alias("tokens")]
+    return near.select(*columns).unionByName(rest.select(*columns))
 
 
 def report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
-    """Containers, tokens and fill by capacity, with the containers that the volume alone needs."""
+    """Containers, tokens and fill by capacity, the containers that the volume alone needs, and whether fewer can't do."""
     return (
-        packed.groupBy("capacity_id").agg(F.max("container").alias("last"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+        packed.groupBy("capacity_id").agg(F.max("container").alias("last"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.min("proved").alias("proved"))
         .join(capacities.where("capacity_tokens > 0").dropDuplicates(["capacity_id"]).select("capacity_id", "capacity_tokens"), "capacity_id")
         .select("capacity_id", "capacity_tokens", "pieces", "tokens", (F.col("last") + 1).alias("containers"),
                 F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("needed_by_volume"),
-                (F.col("tokens") / ((F.col("last") + 1) * F.col("capacity_tokens"))).alias("fill"))
+                (F.col("tokens") / ((F.col("last") + 1) * F.col("capacity_tokens"))).alias("fill"), "proved")
     )
 
 
