@@ -21,16 +21,25 @@ def once(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).dropDuplicates([key])
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df` written to the folder that all executors share, and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all workers share: the session's `spark.checkpoint.dir`.
 
-    The folder is the session's `spark.checkpoint.dir`; one is made only where that is unset.
+    Where that is unset, a session on one machine uses a temporary folder; on a cluster it is an
+    error, as each executor would write to a disk of its own.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "folioloom-checkpoint")
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """`df` written to the folder that all executors share, and read from there."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "folioloom-checkpoint"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
