@@ -9,6 +9,11 @@ sentence boundary or none.  At a mark that may end a sentence the model knows
 * P(right token | no boundary, mark): learned by expectation-maximisation from the tokens
   that follow the same mark.
 
+Abbreviations, verbs of reporting and the kinds of marks enter as priors.  In a line without
+any mark there is an event between every two tokens (words, or characters of scripts without
+blanks), decided by pairs of tokens (`ngrams`): P(end | left) P(right | begin) against
+P(right | left).
+
 Forward-backward over the gaps of a line gives each its posterior; neighbouring gaps depend
 on each other by the number of tokens between them (two initials don't end two sentences).
 Gaps where the rules leave no choice (inside brackets, inside a reported quotation, before a
@@ -16,8 +21,8 @@ comma) have no event.  Blanks in scripts that don't write terminal marks (Thai,
 are gaps too.  All counts are over all rows; they are hashed into tables of fixed size, so
 what the driver collects and broadcasts doesn't grow with the data.
 
-Defined results: null, empty and blank texts have no units; repeated rows count once; a text
-without any mark is one unit for each of its lines.
+Defined results: null, empty and blank texts have no units; repeated rows count once; a line
+without any mark is one unit unless the pairs of its tokens tell of more sentences.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioloom.llm import ngrams
 from folioloom.llm.common import once, table
 
 # Abbreviations, by how they behave before a capital.
@@ -53,29 +59,26 @@ _CLOSE = "”’»」』）)】》〉]›\"'"
 MARK = re.compile(rf"(?:[.．。｡!！?？…؟۔।॥]+[{re.escape(_CLOSE)}]*)+|(?<=[฀-໿ក-៿]) +(?=[฀-໿ក-៿])")
 QUOTE = re.compile(r"“[^”]*”|«[^»]*»|「[^」]*」|『[^』]*』|\"[^\"]*\"")
 BRACKET = re.compile(r"[（(\[［【〔][^（(\[［【〔）)\]］】〕]*[）)\]］】〕]")
-LEFT = re.compile(r"(?:[^\W\d_]\.)*[^\W\d_]+$")
 CLAUSE = re.compile(r"[^，。！？!?…,；;：:“«「\"\n—]*?(?=[，。！？!?…,；;：:“«「\"\n—]|\.(?:\s|$)|$)")
 SAYS_LATIN = re.compile(rf"\b(?:{'|'.join(SAY_LATIN.split())})\b(?! for\b)", re.I)
-SAYS_CHINESE = re.compile(rf"(?:{'|'.join(SAY_CHINESE.split())})$")
+SAYS_CHINESE = tuple(SAY_CHINESE.split())
 RIGHT = re.compile(r"[\s“«「『‘\"'（(¿¡—–-]*")
 WORD = re.compile(r"[^\W\d_]+")
+#: A word that begins with the same letters three times over is a cry or a rattle: none that goes on with a sentence.
+CRY = re.compile(r"([^\W\d_]{1,16}?)\1\1")
+#: Any mark that ends something, or sets something apart.
+BARE = re.compile(r"[.．。｡!！?？…؟۔।॥,，、;；:：—“”«»「」『』\"（(【\[]")
 OPENERS = frozenset("“«「『‘\"'（(¿¡—–-")
 STOPS = frozenset(",，、;；:：)）]】·")
 HARD = frozenset("。｡！？!?؟۔।॥")
 CJK = re.compile(r"[぀-ヿ㐀-鿿\U00020000-\U0003ffff]")
 
-#: Letters of the longest word.
-LONGEST = 24
 L_SIZE, R_SIZE = 1 << 15, 1 << 13
 #: Classes of marks whose right tokens are modelled each on their own.
 KINDS = {"dots": 0, "dots_latin": 1, "point_cjk": 2, "initial": 3, "acronym": 4, "word": 5, "hard": 6, "quote": 7, "blank": 8}
 _TITLES, _ENDERS = frozenset(TITLES.split()), frozenset(ENDERS.split())
 
 
-#: Characters after a quotation in which the clause that reports it has to end.
-CLAUSE_ROOM = 400
-
-
 @lru_cache(200_000)
 def l_slot(word: str) -> int:
     return crc32(word.lower().encode()) % L_SIZE
@@ -99,32 +102,40 @@ def right_token(line: str, at: int) -> tuple[int, str]:
     if c.isdigit():
         return r_slot("0"), "d"
     if m := WORD.match(line, k):
-        # A cry or a rattle of many letters is no word that goes on with a sentence.
-        return r_slot(m.group()), "U" if c.isupper() else "c" if not c.islower() else "l" if m.end() - k <= LONGEST else "o"
+        return r_slot(m.group()), "U" if c.isupper() else "c" if not c.islower() else "o" if CRY.match(line, k) else "l"
     return r_slot(c), "o"
 
 
+def _skip(line: str, at: int) -> int:
+    while at < len(line) and line[at].isspace():
+        at += 1
+    return at
+
+
 def reported(line: str, start: int, end: int) -> tuple[bool, bool]:
     """Whether the quotation line[start:end] belongs to words before it, and to a clause after it."""
-    before = line[max(0, start - 40) : start].rstrip()
-    inside = bool(before) and before[-1] not in "。！？!?…．." + _CLOSE
-    after = line[end : end + CLAUSE_ROOM].lstrip()
-    if not after:
+    b = start
+    while b and line[b - 1].isspace():
+        b -= 1
+    inside = b > 0 and line[b - 1] not in "。！？!?…．." + _CLOSE
+    at = _skip(line, end)
+    if at == len(line):
         return inside, False
-    c = after[0]
-    if c in ",，、" or c.islower() and len(WORD.match(after).group()) <= LONGEST or after.startswith(SAY_JAPANESE):
+    c = line[at]
+    if c in ",，、" or c.islower() and not CRY.match(line, at) or line.startswith(SAY_JAPANESE, at):
         return inside, True
     if c in "—–-":
-        after = after[1:].lstrip()
-        if after and after[0].islower():
+        at = _skip(line, at + 1)
+        if at < len(line) and line[at].islower():
             return inside, True
     if inside:
         return inside, False
-    clause = CLAUSE.match(after).group()
-    stop = after[len(clause) : len(clause) + 1]
-    if not clause or (stop and stop in ":：“«「\""):
+    z = CLAUSE.match(line, at).end()
+    if z == at or line[z : z + 1] in tuple(":：“«「\""):
         return inside, False
-    return inside, bool(SAYS_CHINESE.search(clause) if CJK.match(clause[-1]) else SAYS_LATIN.search(clause))
+    if CJK.match(line[z - 1]):
+        return inside, any(line.endswith(w, at, z) for w in SAYS_CHINESE)
+    return inside, bool(SAYS_LATIN.search(line, at, z))
 
 
 @dataclass
@@ -147,9 +158,18 @@ _SOFT = frozenset(("initial", "acronym", "point_cjk"))
 
 
 def left_word(line: str, at: int) -> str:
-    """The word before the point at `at`, with the points inside it."""
-    found = LEFT.search(line, max(0, at - 24), at)
-    return found.group() if found else ""
+    """The word before the point at `at`, with the points inside it: of an acronym its last letters."""
+    b = at
+    while b and line[b - 1].isalpha():
+        b -= 1
+    if b == at:
+        return ""
+    for _ in range(2):  # two letters with points tell as much as more of them
+        if b > 1 and line[b - 1] == "." and line[b - 2].isalpha():
+            b -= 2
+        else:
+            break
+    return line[b:at]
 
 
 def gaps(line: str) -> Gaps:
@@ -239,17 +259,17 @@ def gaps(line: str) -> Gaps:
         g.case.append(case)
         since = g.at[-2] if len(g.at) > 1 else 0
         doubtful = kind in _SOFT or kind == "word" and (word.lower() in _ENDERS or word.lower() in _TITLES)
-        g.near.append(doubtful and s - since < 40 and (s - since <= 2 if kind == "point_cjk" or case == "c" else len(line[since:s].split()) <= FEW))
+        g.near.append(doubtful and (s - since <= 2 if kind == "point_cjk" or case == "c" else len(line[since:s].split()) <= FEW))
         last = e
     return g
 
 
 # --- training ---------------------------------------------------------------------------
 
-#: Blocks of the one table of counts: words by (line end, capital, other), starts, right tokens by kind.
+#: Blocks of the one table of counts: words by (line end, capital, other), starts, right tokens by kind, n-grams.
 _WORDS, _STARTS, _RIGHTS = 0, 3 * L_SIZE, 3 * L_SIZE + R_SIZE
-TABLE = _RIGHTS + len(KINDS) * R_SIZE
-_END = re.compile(rf"(?<=[^\W\d_])(?<!\.)[.](?=[{re.escape(_CLOSE)}]*\s*$)")
+_GRAMS = _RIGHTS + len(KINDS) * R_SIZE
+TABLE = _GRAMS + ngrams.TABLE
 
 
 def count_line(line: str, table_: np.ndarray) -> None:
@@ -259,9 +279,9 @@ def count_line(line: str, table_: np.ndarray) -> None:
     first = RIGHT.match(stripped).end()
     if first < len(stripped):
         table_[_STARTS + right_token(stripped, 0)[0]] += 1
-    if m := _END.search(stripped, max(0, len(stripped) - 6)):
-        if word := left_word(stripped, m.start()):
-            table_[_WORDS + 3 * l_slot(word)] += 1
+    body = stripped.rstrip(_CLOSE + " ")
+    if body.endswith(".") and not body.endswith("..") and (word := left_word(body, len(body) - 1)):
+        table_[_WORDS + 3 * l_slot(word)] += 1
     g = gaps(line)
     for kind, left, right, case in zip(g.kind, g.left, g.right, g.case):
         table_[_RIGHTS + kind * R_SIZE + right] += 1
@@ -281,6 +301,7 @@ def corpus_counts(texts: DataFrame) -> np.ndarray:
                 if text:
                     for m in LINE.finditer(text):
                         count_line(m.group(), t)
+            ngrams.count("\n".join(x for x in b["text"] if x), t[_GRAMS:])
         at = np.flatnonzero(t)
         yield pd.DataFrame({"slot": at, "n": t[at]})
 
@@ -297,12 +318,13 @@ class Model:
     start: np.ndarray  # log P(right | boundary)
     inner: np.ndarray  # log P(right | no boundary) by kind
     odds: np.ndarray  # log-odds of a boundary by kind, as EM found them
+    grams: ngrams.Model | None  # for lines without marks; None if nothing has been counted
 
 
 def fit(counts: np.ndarray, rounds: int = 12) -> Model:
     words = counts[_WORDS:_STARTS].reshape(L_SIZE, 3).astype(float)
     starts = counts[_STARTS:_RIGHTS].astype(float)
-    rights = counts[_RIGHTS:].reshape(len(KINDS), R_SIZE).astype(float)
+    rights = counts[_RIGHTS:_GRAMS].reshape(len(KINDS), R_SIZE).astype(float)
     p_start = (starts + 0.02) / (starts.sum() + 0.02 * R_SIZE)
     inner, odds = np.zeros_like(rights), np.zeros(len(KINDS))
     for k in range(len(KINDS)):
@@ -322,15 +344,16 @@ def fit(counts: np.ndarray, rounds: int = 12) -> Model:
     share = np.clip(words[:, 0] / np.maximum(seen, 1) / max(usual, 1e-6), 0, 1)
     sure = 5 * np.minimum(1, seen / 200)
     word = np.where(seen >= 20, np.clip(np.log((share * seen + 0.05) / ((1 - share) * seen + 0.05)), -sure, sure), np.nan)
-    return Model(word, np.log(p_start), inner, odds)
+    grams = counts[_GRAMS:]
+    return Model(word, np.log(p_start), inner, odds, ngrams.model(grams) if grams[:ngrams.STARTS].any() else None)
 
 
 # --- decoding ---------------------------------------------------------------------------
 
 _CASE = {"U": 0.0, "c": 0.0, "l": -7.0, "d": -1.0, "o": -1.0, "e": 0.0}
-#: Kinds for which the right token is weighed by the model; the others by their case alone.
-_WEIGHED = np.zeros(len(KINDS), bool)
-_WEIGHED[[KINDS["dots"], KINDS["dots_latin"], KINDS["blank"]]] = True
+#: How far the token after a mark may move the log-odds, by kind: most where the mark itself tells least.
+_REACH = np.full(len(KINDS), 1.5)
+_REACH[[KINDS["dots"], KINDS["dots_latin"], KINDS["blank"]]] = 6.0
 
 
 def log_odds(g: Gaps, model: Model) -> np.ndarray:
@@ -339,18 +362,27 @@ def log_odds(g: Gaps, model: Model) -> np.ndarray:
     base = np.log(prior / (1 - prior))
     learnt = np.where(left >= 0, model.word[np.maximum(left, 0)], np.nan)
     base = np.where(np.isnan(learnt), base, np.clip(base + learnt, -6, 6))
-    weighed = _WEIGHED[kind]
-    ratio = np.clip(model.start[right] - model.inner[kind, right], -6, 6)
+    # A model that hasn't counted anything knows nothing of the token after a plain mark.
+    reach = _REACH[kind] if model.grams else np.where(_REACH[kind] > 2, _REACH[kind], 0)
+    ratio = np.clip(model.start[right] - model.inner[kind, right], -reach, reach)
     caseless = np.array([c == "c" for c in g.case])
+    doubtful = _REACH[kind] > 2
     # In a script with case a capital decides after dots; the token decides elsewhere.
-    base = base + np.where(weighed & (caseless | (kind == KINDS["blank"])), ratio + np.where(kind == KINDS["dots"], model.odds[kind], 0), 0)
-    base = base + np.where(weighed & ~caseless, np.array([2.0 if c == "U" else 0.0 for c in g.case]), 0)
+    base = base + np.where(~doubtful | caseless | (kind == KINDS["blank"]), ratio + np.where(kind == KINDS["dots"], model.odds[kind], 0), 0)
+    base = base + np.where(doubtful & ~caseless, np.array([2.0 if c == "U" else 0.0 for c in g.case]), 0)
     # What has few tokens is hardly a sentence, however well its last word ends others.
     return np.where(np.array(g.near), np.minimum(base, 1), base) + np.array([_CASE[c] for c in g.case])
 
 
+#: Tokens that a sentence has where no mark tells of one, and the log-odds of one with fewer.
+SHORT, FEWER = 3, -6.0
+
+
 def posteriors(odds: np.ndarray, near: list[bool]) -> np.ndarray:
-    """P(boundary) at each gap by forward-backward; two boundaries in near gaps are unlikely."""
+    """P(boundary) at each gap by forward-backward; two boundaries in near gaps are unlikely.
+
+    Where no gap is near, they are independent, and each posterior is that of its own odds.
+    """
     if not any(near):
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     n = len(odds)
@@ -367,6 +399,64 @@ def posteriors(odds: np.ndarray, near: list[bool]) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -30, 30)))
 
 
+def apart(odds: np.ndarray) -> np.ndarray:
+    """P(boundary) at each gap by forward-backward over the tokens since the last boundary.
+
+    A sentence of fewer than `SHORT` tokens is unlikely.
+    """
+    n = len(odds)
+    few = np.full(SHORT, FEWER)
+    few[-1] = 0.0  # state k: k + 1 tokens since the boundary, the last state for as many or more
+    f, b = np.full((n + 1, SHORT), -np.inf), np.zeros((n + 1, SHORT))
+    f[0, 0] = 0
+    for i in range(n):
+        stay = np.concatenate([[-np.inf], f[i, :-1]])
+        stay[-1] = np.logaddexp(stay[-1], f[i, -1])
+        f[i + 1] = stay
+        f[i + 1, 0] = np.logaddexp.reduce(f[i] + few) + odds[i]
+    b[n] = few
+    out = np.zeros(n)
+    for i in range(n - 1, -1, -1):
+        go = np.concatenate([b[i + 1, 1:], b[i + 1, -1:]])
+        cut = few + odds[i] + b[i + 1, 0]
+        b[i] = np.logaddexp(go, cut)
+        z = np.logaddexp.reduce(f[i] + b[i])
+        out[i] = np.exp(min(0.0, np.logaddexp.reduce(f[i] + cut) - z))
+    return out
+
+
+def unmarked_cuts(lines: list[str], model: ngrams.Model) -> list[list[int]]:
+    """Where sentences end in lines without any mark, by the pairs of their tokens."""
+    out: list[list[int]] = [[] for _ in lines]
+    some: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        t = ngrams.tokens("\n".join(lines[i] for i in some))
+        if not len(t.start):
+            return
+        odds = model.odds(t)
+        begins = np.cumsum([0] + [len(lines[i]) + 1 for i in some])
+        first = np.searchsorted(t.start, begins)
+        for k, i in enumerate(some):
+            a, z = int(first[k]), int(first[k + 1])
+            own = odds[a : z - 1]
+            if len(own) and own.max() > 0:
+                # Few tokens are hardly a sentence, at the begin of the line and after a boundary.
+                yes = apart(own) > 0.5
+                out[i] = (t.end[a : z - 1][yes] - begins[k]).tolist()
+
+    for i, line in enumerate(lines):
+        some.append(i)
+        size += len(line) + 1
+        if size >= ngrams.STRETCH:
+            flush()
+            some, size = [], 0
+    if some:
+        flush()
+    return out
+
+
 def line_units(line: str, offset: int, cuts: list[int], out: list[tuple[int, int]]) -> None:
     """The stretches between the cuts, without the blanks around them."""
     at = 0
@@ -393,8 +483,10 @@ def split_many(texts: list[str | None], model: Model) -> list[list[tuple[int, in
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     odds = log_odds(events, model) if events.at else np.zeros(0)
     yes = odds > 0
-    for i, line, offset, a, n in lines:
-        cuts = ()
+    bare = [k for k, (_, line, _, _, n) in enumerate(lines) if not n and not BARE.search(line)] if model.grams else []
+    found = dict(zip(bare, unmarked_cuts([lines[k][1] for k in bare], model.grams)))
+    for k, (i, line, offset, a, n) in enumerate(lines):
+        cuts = found.get(k, ())
         if n:
             near = events.near[a : a + n]
             ends = posteriors(odds[a : a + n], near) > 0.5 if any(near) else yes[a : a + n]

@@ -22,11 +22,14 @@ def test_one_code_for_one_look(stored, form):
 
 
 def test_candidates_of_mixed_tokens():
-    assert "Joaquín" in L.candidates("Jοaquín", "Latin")
-    assert "estación" in L.candidates("estaciόn", "Latin")
-    assert "a" in L.candidates("а", "Latin")
-    assert L.suspects("plain") == [] and L.suspects("чисто") == [] or all(m for _, m in L.suspects("чисто"))
+    assert "Joaquín" in L.candidates("Jοaquín", "Jοaquín came")
+    assert "estación" in L.candidates("estaciόn", "la estaciόn")
+    assert L.candidates("а", "thе house а day") == ["a"] and L.candidates("а", "а") == []
+    assert L.candidates("пpивет", "пpивет, мир") == ["привет"] and L.candidates("λoγος", "λoγος") == ["λογος"]
+    assert L.suspects("plain") == [] and L.suspects("он сказал а потом с ней") == [] and L.suspects("чисто") == []
+    assert L.suspects("он сказал: house of major c words а") == []
     assert L.repaired("thе end", {"thе": "the"}) == "the end"
+    assert L.uniform("𝐀𝑏𝟏") == "Ab𝟏"
 
 
 MODEL = S.fit(np.zeros(S.TABLE, np.int64))
@@ -52,6 +55,63 @@ def test_sentence_units(text, units):
     assert [text[s:e] for s, e in spans] == units
 
 
+def test_prefixes_and_lists_decide_nothing_by_length():
+    for n in (390, 420, 3000):
+        (spans,) = S.split_many(["“走吧。”" + "他" * n + "说。然后他走了。"], MODEL)
+        assert len(spans) == 2
+    assert S.left_word("x " + "a" * 90 + ".", 92) == "a" * 90 and S.left_word("I.B.M.", 5) == "I.B.M" and S.left_word("A.I.B.M.", 7) == "I.B.M"
+
+
+@pytest.mark.parametrize("blank, words, mark", [(" ", "ana luis rosa juan hid sold drew fed the a clock hen net goat kitchen bridge near under by well".split(), ". "), ("", list("安娜路易斯藏卖画喂钟鸡网羊厨房桥附近下井边的"), "。")])
+def test_sentences_without_marks(blank, words, mark):
+    rng = random.Random(4)
+    def sentence():  # noqa: E306
+        who, what, thing, near, place = (words[i::5] for i in range(5))
+        return blank.join([rng.choice(who), rng.choice(what), words[8], rng.choice(thing), rng.choice(near), rng.choice(place)])
+
+    table = np.zeros(S.TABLE, np.int64)
+    for _ in range(400):
+        S.ngrams.count(mark.join(sentence() for _ in range(5)) + mark.strip(), table[S._GRAMS :])
+    model = S.fit(table)
+    hit = found = total = 0
+    for _ in range(200):
+        some = [sentence() for _ in range(4)]
+        text = blank.join(some)
+        (spans,) = S.split_many([text], model)
+        ends, at = set(), 0
+        for x in some:
+            ends.add(at + len(x))
+            at += len(x) + len(blank)
+        hit, found, total = hit + len(ends & {e for _, e in spans}), found + len(spans), total + 4
+    assert hit / total >= 0.9 and hit / found >= 0.9
+
+
+def test_tokens_of_long_texts_are_counted_by_stretches(monkeypatch):
+    from folioloom.llm import ngrams
+
+    text = "".join(random.Random(1).choices(["word ", "ana ", "ok. ", "你好", "。", "\n", "long" * 30 + " ", "𠮷"], k=3000))
+    whole = np.zeros(ngrams.TABLE, np.int64)
+    ngrams.count(text, whole)
+    for size in (50, 333, 4000):
+        monkeypatch.setattr(ngrams, "STRETCH", size)
+        parts = np.zeros(ngrams.TABLE, np.int64)
+        ngrams.count(text, parts)
+        assert (parts == whole).all()
+
+
+def test_posteriors_without_marks_match_enumeration():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 4, 6):
+        odds = rng.normal(0, 2, n)
+        weight = {}
+        for m in range(1 << n):
+            cuts = [i for i in range(n) if m >> i & 1]
+            sizes = np.diff([-1, *cuts, n])  # tokens of each sentence
+            weight[m] = np.exp(sum(odds[i] for i in cuts) + S.FEWER * sum(s < S.SHORT for s in sizes))
+        want = [sum(w for m, w in weight.items() if m >> i & 1) / sum(weight.values()) for i in range(n)]
+        assert np.allclose(S.apart(odds), want)
+
+
 def test_units_cover_everything_but_blanks():
     rng = random.Random(1)
     for _ in range(300):

@@ -42,6 +42,15 @@ def test_lookalike_pairs(spark):
     assert rows(lookalike.same_reading_pairs(_blocks(spark, []))) == []
 
 
+def test_text_in_other_scripts_stays(spark):
+    stored = ["он сказал а потом с ней", "a house c major", "пpивет", "привет, мир", "λoγος", "ο λογος", "ο ο", "thе house"]
+    d = spark.createDataFrame([(1, "n", stored)], "textdoc_id bigint, version_id string, blocks array<string>")
+    v = spark.createDataFrame([], "id string, normalization struct<traditional_to_simplified:boolean>")
+    m = spark.createDataFrame([], "trad string, simp string")
+    forms = [r.form for r in lookalike.canonical_blocks(d, v, m).orderBy("block").collect()]
+    assert forms == ["он сказал а потом с ней", "a house c major", "привет", "привет, мир", "λογος", "ο λογος", "ο ο", "thе house"]
+
+
 # --- pieces
 
 
