@@ -247,13 +247,37 @@ def test_languages_of_mixed_documents(spark):
     docs = [(i, en, "en") for i in range(30)] + [(100 + i, es, "spa") for i in range(30)] + [(200 + i, zh, "zh-CN") for i in range(30)]
     docs += [(1, en + "\n" + zh, "en"), (2, es, "en"), (3, None, "en"), (4, "   ", None), (5, "***", "en"), (6, en, None), (7, en + " (río y casa)", "EN_us")]
     d = clashing(spark.createDataFrame([(1000 + i if i < 10 and n >= 90 else i, t, x) for n, (i, t, x) in enumerate(docs)], "doc_id bigint, text string, lang string"))
+    d = d.unionByName(clashing(spark.createDataFrame([(2001, "Река поднялась ночью, и никто в доме не мог уснуть.", None), (2002, "Chapter 3", None), (None, en, None)], "doc_id bigint, text string, lang string")))
+    texts = common.cut_lineage(languages.divided(d))
+    logs = languages.trained(texts)
     got = {}
-    for r in languages.segments(d, languages.trained(d)).collect():
-        got.setdefault(r.doc_id, []).append((r.lang, round(r.confidence, 2)))
-    assert [x for x, _ in got[1001]] == ["en", "zh"] and [x for x, _ in got[1002]] == ["es"] and [x for x, _ in got[1007]] == ["en"]
-    assert not {1003, 1004, 1005} & set(got) and all(c > 0.9 for s in got.values() for _, c in s)
-    e = d.where("false")
-    assert languages.segments(e, languages.trained(e)).count() == 0
+    for r in languages.segments(texts, logs).collect():
+        got.setdefault(r.doc_id, []).append((r.lang, round(r.confidence, 2), r.sentences))
+    assert [x[0] for x in got[1001]] == ["en", "zh"] and [x[0] for x in got[1002]] == ["es"] and [x[0] for x in got[1007]] == ["en"]
+    assert not {1003, 1004, 1005} & set(got) and all(c > 0.9 for s in got.values() for _, c, _ in s)
+    assert [x[0] for x in got[2001]] == ["und"] and [x[2] for x in got[2002]] == [0]
+    whole = {r.doc_id: r for r in languages.document_languages(texts, logs).collect()}
+    assert set(whole) == {r.doc_id for r in d.select("doc_id").collect()}
+    assert [(whole[i].lang, whole[i].confidence) for i in (1003, 1004, 1005)] == [(None, 0.0)] * 3
+    assert whole[1002].lang == "es" and set(whole[1001].languages) == {"en", "zh"} and whole[2002].lang is not None and whole[1006].confidence > 0.9
+    e = common.cut_lineage(languages.divided(d.where("false")))
+    assert languages.segments(e, languages.trained(e)).count() == 0 and languages.document_languages(e, languages.trained(e)).count() == 0
+
+
+def test_ngrams_of_a_long_unit_are_all_counted(monkeypatch):
+    import numpy as np
+
+    units = ["abc" * 700 + "d", "", "x", "早上好" * 50]
+    counts = []
+    for size in (1 << 19, 64, 7):
+        monkeypatch.setattr(languages, "STRETCH", size)
+        total = [np.zeros(languages.TABLE, np.int64) for _ in units]
+        for slots, first, which in languages.grams(units):
+            for k, (a, z) in enumerate(zip(first, [*first[1:], slots.shape[1]])):
+                for one in slots:
+                    np.add.at(total[which[k]], one[a:z], 1)
+        counts.append(np.stack(total))
+    assert (counts[0] == counts[1]).all() and (counts[0] == counts[2]).all() and counts[0][0].sum() == 2 * 2102
 
 
 # --- names
@@ -376,7 +400,7 @@ def test_alignment_of_generated_chapters(spark, monkeypatch):
 # --- the queries over the smallest tables
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p3_pieces", "p3_check", "p4_found", "p4_forms", "p5_found", "p6_report", "p7_report", "p8_found", "p8_segments"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p3_pieces", "p3_check", "p4_found", "p4_forms", "p5_found", "p6_report", "p7_report", "p8_found", "p8_segments", "p8_documents"])
 def test_query(spark, name):
     import os
 
