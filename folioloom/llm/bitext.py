@@ -9,13 +9,19 @@ the other (association over all chapters, in tables of fixed size); the path is
 again with both, twice.
 
 The units of the path are clauses: a sentence that merges several others then needs no bead
-of its own size, and is paired with each of its counterparts.  Clauses left over after the
-path are paired if each is the other's clear choice, which finds reordered ones.  A pair is
-kept only if its words agree better than those of clauses that can't be renderings.
+of its own size, and is paired with each of its counterparts.  The pairs are those of the
+path's beads whose words agree better than nearly all clauses that can't be renderings.
+What was reordered lies off the path: a path is found again through the clauses left over, in
+which leaving one out costs nothing, and again, until it finds no further pair.
+
+A chapter of more than `PART` sentences on a side isn't held by one task.  Parts of the same
+relative position are aligned first, with half a part more on both sides; then every part of
+the clauses left over with every such part of the other side, until no pair is found: so
+every clause has met every one of the other side that is left, however far it has moved.
 
 Defined results: repeated rows count once; null or blank texts, and chapters with one side
-only, have no pairs; equal sentences are told apart by their order; rows without chapter,
-id or language take no part.
+only, have no pairs; equal sentences are told apart by their order, those without an order
+come last; rows without chapter, id or language take no part.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import bounded_rows, cut_lineage, once, table
+from folioloom.llm.common import bounded_rows, cut_lineage, once, ranked, table
 
 #: Sizes of the hashed vocabularies: words of the second side, character pairs of the first.
 WORDS, PAIRS = 1 << 11, 1 << 12
@@ -43,14 +49,16 @@ BEADS = {(1, 1): 0.82, (1, 0): 0.06, (0, 1): 0.06, (2, 1): 0.02, (1, 2): 0.02}
 CROSSED = 0.02
 #: What equal or different numbers add to an agreement or take from it.
 NUMBER = 0.3
-#: What standing on the path adds to a pair's rank.
+#: A pair on the path may agree less by this much.
 ON_PATH = 0.08
 #: On the path, agreement counts this much, above what neither speaks for a pair nor against it.
 GAIN, NEUTRAL = 6.0, 0.55
 #: Share of the pairs that can't be renderings allowed above the cut.
 CHANCE = 0.0015
-#: Sentences of a side aligned at once; longer chapters are cut into overlapping parts.
-PART = 2000
+#: What distance in the chapter takes from a pair's agreement off the path.
+FAR = 0.1
+#: Sentences of a side aligned at once, and clauses of the parts of longer chapters.
+PART = 1000
 #: Weight of the side of which more is explained.
 SHORTER = 0.75
 
@@ -143,10 +151,11 @@ class Unit:
     numbers: frozenset
 
 
-def units(ids: list[int], texts: list[str], han: bool, stock: dict[str, bool]) -> list[Unit]:
+def units(ids: list[int], texts: list[str], han: bool, stock: dict[str, bool], cut: bool = False) -> list[Unit]:
+    """The clauses of texts, or the texts themselves if they are `cut` into clauses already."""
     out = []
     for i, text in zip(ids, texts):
-        for c in clauses(text, stock):
+        for c in [text] if cut else clauses(text, stock):
             if han:
                 keys = {run[k : k + 2] for m in HAN_RUN.finditer(c) for run in [m.group()] for k in range(max(1, len(run) - 1))}
                 slots = sorted({crc32(k.encode()) % PAIRS for k in keys})
@@ -212,26 +221,34 @@ def length_cost(a: np.ndarray, b: np.ndarray, m: Model) -> np.ndarray:
     return z * z / 2
 
 
-def best_path(first: list[Unit], second: list[Unit], m: Model, score: np.ndarray | None) -> list[tuple[list[int], list[int]]]:
-    """The beads of the optimal path: indexes into both sides."""
+def best_path(first: list[Unit], second: list[Unit], m: Model, score: np.ndarray | None, above: np.ndarray | None = None) -> list[tuple[list[int], list[int]]]:
+    """The beads of the optimal path: indexes into both sides.
+
+    With `above`, the least score of a pair, the path is through what was left over: it has
+    one-to-one beads of such pairs only, and leaving a clause out costs nothing.
+    """
     n, k = len(first), len(second)
     a = np.array([u.length for u in first], float)
     b = np.array([u.length for u in second], float)
     fit = GAIN * (score - NEUTRAL) if score is not None else np.zeros((n, k))
-    kinds = [(1, 1), (1, 0), (0, 1), (2, 1), (1, 2), (2, 2)]
+    kinds = [(1, 1), (1, 0), (0, 1), (2, 1), (1, 2), (2, 2)][: 3 if above is not None else 6]
     # Cell (i, j) is at (i + 2, j + 2) of tables with two rims, so that every cell has all its forerunners.
     wide = k + 3
     cost = np.full((len(kinds), n + 3, wide), np.inf)
     if n and k:
         one = length_cost(a[:, None], b[None, :], m)
-        cost[0, 3:, 3:] = one - fit - math.log(BEADS[1, 1])
-        if n > 1:
-            cost[3, 4:, 3:] = length_cost((a[:-1] + a[1:])[:, None], b[None, :], m) - (fit[:-1] + fit[1:]) / 2 - math.log(BEADS[2, 1])
-        if k > 1:
-            cost[4, 3:, 4:] = length_cost(a[:, None], (b[:-1] + b[1:])[None, :], m) - (fit[:, :-1] + fit[:, 1:]) / 2 - math.log(BEADS[1, 2])
-        if n > 1 and k > 1:
-            cost[5, 4:, 4:] = one[:-1, 1:] + one[1:, :-1] - fit[:-1, 1:] - fit[1:, :-1] - math.log(CROSSED)
-    cost[1:3, 2:, 2:] = 4.0 - math.log(BEADS[1, 0])
+        if above is not None:
+            # Of two chains the one that explains more; lengths settle what words leave open.
+            cost[0, 3:, 3:] = np.where(score > above, -GAIN * (score - above) - 1 / (1 + one), np.inf)
+        else:
+            cost[0, 3:, 3:] = one - fit - math.log(BEADS[1, 1])
+            if n > 1:
+                cost[3, 4:, 3:] = length_cost((a[:-1] + a[1:])[:, None], b[None, :], m) - (fit[:-1] + fit[1:]) / 2 - math.log(BEADS[2, 1])
+            if k > 1:
+                cost[4, 3:, 4:] = length_cost(a[:, None], (b[:-1] + b[1:])[None, :], m) - (fit[:, :-1] + fit[:, 1:]) / 2 - math.log(BEADS[1, 2])
+            if n > 1 and k > 1:
+                cost[5, 4:, 4:] = one[:-1, 1:] + one[1:, :-1] - fit[:-1, 1:] - fit[1:, :-1] - math.log(CROSSED)
+    cost[1:3, 2:, 2:] = 0.0 if above is not None else 4.0 - math.log(BEADS[1, 0])
     total = np.full((n + 3) * wide, np.inf)
     total[2 * wide + 2] = 0
     move = np.zeros(len(total), np.int8)
@@ -256,38 +273,33 @@ def best_path(first: list[Unit], second: list[Unit], m: Model, score: np.ndarray
 
 
 def chapter_pairs(first: list[Unit], second: list[Unit], m: Model) -> list[tuple[int, int, float]]:
-    """(first, second, score) of the clause pairs of one chapter.
-
-    Pairs on the path come before others of about the same agreement; a clause has one
-    counterpart, or two in a merge or split bead of the path.
+    """(first, second, score) of the clause pairs of one chapter: those of the path's beads that agree,
+    then those of the paths through what is left over, until there are no more.
     """
     if not first or not second:
         return []
     score = agreement(first, second, m)
-    strong = m.cut
-    rank = score - 0.1 * np.abs(np.arange(len(first))[:, None] / len(first) - np.arange(len(second))[None, :] / len(second))
-    merged = set()
-    for xs, ys in best_path(first, second, m, score):
-        for x in xs:
-            for y in ys:
-                rank[x, y] += ON_PATH
-                if len(xs) * len(ys) > 1:
-                    merged.add((x, y))
-    xs, ys = np.nonzero(rank > strong)
-    order = np.argsort(-rank[xs, ys], kind="stable")
-    pairs, used_a, used_b = [], {}, {}
-    for x, y in zip(xs[order].tolist(), ys[order].tolist()):
-        # In a merge bead a clause may be used again, by the other pair of the bead.
-        if (x in used_a and not ((x, y) in merged and used_a[x] in merged)) or (y in used_b and not ((x, y) in merged and used_b[y] in merged)):
-            continue
-        used_a[x] = used_b[y] = (x, y)
-        pairs.append((x, y, float(score[x, y])))
-    return pairs
+    far = FAR * np.abs(np.arange(len(first))[:, None] / len(first) - np.arange(len(second))[None, :] / len(second))
+    pairs = [(x, y) for xs, ys in best_path(first, second, m, score) for x in xs for y in ys if score[x, y] - far[x, y] + ON_PATH > m.cut]
+    new = pairs
+    left, right = np.arange(len(first)), np.arange(len(second))
+    while new or new is pairs:
+        left, right = np.setdiff1d(left, [x for x, _ in new]), np.setdiff1d(right, [y for _, y in new])
+        own = score[np.ix_(left, right)]
+        above = m.cut + far[np.ix_(left, right)]
+        # A clause that agrees with none needn't be passed on the way.
+        left_, right_ = (np.flatnonzero((own > above).any(k)) for k in (1, 0))
+        if not len(left_):
+            break
+        at = np.ix_(left_, right_)
+        beads = best_path([first[x] for x in left[left_]], [second[y] for y in right[right_]], m, own[at], above[at])
+        new = [(int(left[left_[x]]), int(right[right_[y]])) for (x,), (y,) in beads]
+        pairs = pairs + new
+    return [(x, y, float(score[x, y])) for x, y in pairs]
 
 
 # --- over DataFrames ---------------------------------------------------------------------
 
-CHAPTER = "chapter_id bigint, part int, first_id array<bigint>, first_text array<string>, first_core array<boolean>, second_id array<bigint>, second_text array<string>"
 #: Bins of the histogram of agreements between distant clauses, over 0 to 2.
 BINS = 2000
 #: A word and a character pair seen together less often aren't associated.
@@ -300,28 +312,38 @@ def chapters(sentences: DataFrame, script_map: DataFrame, first: str = "zh", sec
     """A row for each chapter, or part of a long one, with both sides in order.
 
     A part holds the sentences whose relative position is within it, and half a part more on
-    both sides; `first_core` tells those of the first side that no other part has.
+    both sides; `first_core` tells those of the first side that no other part has.  A whole
+    chapter has part -1.
     """
     rows = bounded_rows(script_map.where("trad is not null and simp is not null").dropDuplicates(["trad"]), 200_000, "script_map")
     text = F.translate("text", "".join(r.trad for r in rows), "".join(r.simp for r in rows)) if rows else F.col("text")
     own = sentences.where(F.col("chapter_id").isNotNull() & F.col("lang").isin(first, second) & (F.trim("text") != "")).select(
-        "chapter_id", "lang", "sentence_id", F.coalesce("sent", F.lit(1 << 30)).alias("sent"),
+        "chapter_id", "lang", "sentence_id", F.coalesce(F.col("sent").cast("bigint"), F.lit((1 << 62))).alias("sent"),
         F.when(F.col("lang") == first, text).otherwise(F.col("text")).alias("text"))
-    sizes = own.groupBy("chapter_id").agg(
-        F.sum((F.col("lang") == first).cast("bigint")).alias("n1"), F.sum((F.col("lang") == second).cast("bigint")).alias("n2"),
-        F.max(F.when(F.col("lang") == first, F.col("sent"))).alias("l1"), F.max(F.when(F.col("lang") == second, F.col("sent"))).alias("l2")).where("n1 > 0 and n2 > 0")
-    parts = F.greatest(F.lit(1), F.ceil(F.greatest("n1", "n2") / PART)).cast("int")
-    at = F.col("sent") / (F.when(F.col("lang") == first, F.col("l1")).otherwise(F.col("l2")) + 1) * F.col("parts")
-    placed = (
-        own.join(sizes, "chapter_id").withColumn("parts", parts).withColumn("at", at)
-        .withColumn("part", F.explode(F.sequence(F.greatest(F.floor(F.col("at") - 0.5), F.lit(0)).cast("int"), F.least(F.floor(F.col("at") + 0.5), F.col("parts") - 1).cast("int"))))
-        .withColumn("core", F.floor("at") == F.col("part"))
-    )
+    sizes = cut_lineage(own.groupBy("chapter_id").agg(
+        F.sum((F.col("lang") == first).cast("bigint")).alias("n1"), F.sum((F.col("lang") == second).cast("bigint")).alias("n2")).where("n1 > 0 and n2 > 0"))
     item = F.struct("sent", "sentence_id", "text", "core")
-    grouped = placed.groupBy("chapter_id", "part").agg(
-        F.sort_array(F.collect_list(F.when(F.col("lang") == first, item))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("lang") == second, item))).alias("b"))
+    sides = [F.sort_array(F.collect_list(F.when(F.col("lang") == x, item))).alias(k) for x, k in ((first, "a"), (second, "b"))]
+    short = sizes.where(F.greatest("n1", "n2") <= PART)
+    grouped = own.join(short, "chapter_id", "left_semi").withColumn("core", F.lit(True)).groupBy("chapter_id").agg(*sides).withColumn("part", F.lit(-1))
+    long = sizes.where(F.greatest("n1", "n2") > PART)
+    if not long.isEmpty():
+        of = own.join(long, "chapter_id")
+        placed = ranked(of, ["chapter_id", "lang"], ["sent", "sentence_id"]).withColumn("n", F.when(F.col("lang") == first, F.col("n1")).otherwise(F.col("n2")))
+        parts = _diagonal(placed).groupBy("chapter_id", "part").agg(*sides)
+        grouped = grouped.unionByName(parts)
     return grouped.select("chapter_id", "part", F.col("a.sentence_id").alias("first_id"), F.col("a.text").alias("first_text"), F.col("a.core").alias("first_core"),
-                          F.col("b.sentence_id").alias("second_id"), F.col("b.text").alias("second_text"))
+                          F.col("b.sentence_id").alias("second_id"), F.col("b.text").alias("second_text"), F.col("b.core").alias("second_core"))
+
+
+def _diagonal(placed: DataFrame) -> DataFrame:
+    """Rows (rank, n, n1, n2) with the parts of their relative position; `core` in the one they lie in."""
+    parts = F.ceil(F.greatest("n1", "n2") / PART)
+    return (
+        placed.withColumn("_p", parts).withColumn("_at", F.col("rank") / F.col("n") * F.col("_p"))
+        .withColumn("part", F.explode(F.sequence(F.greatest(F.floor(F.col("_at") - 0.5), F.lit(0)).cast("int"), F.least(F.floor(F.col("_at") + 0.5), F.col("_p") - 1).cast("int"))))
+        .withColumn("core", F.floor("_at") == F.col("part")).drop("_p", "_at")
+    )
 
 
 def stock_phrases(chapters_: DataFrame) -> tuple[dict[str, bool], float]:
@@ -365,7 +387,7 @@ def count_beads(chapters_: DataFrame, m: Model) -> pd.DataFrame:
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        t = np.zeros(TABLE, np.int32)
+        t = np.zeros(TABLE, np.int64)
         joint = t[: WORDS * PAIRS].reshape(WORDS, PAIRS)
         for b in rows:
             for row in b.itertuples():
@@ -421,6 +443,9 @@ def train(chapters_: DataFrame, passes: int = 3) -> Model:
     return m
 
 
+FOUND = "chapter_id bigint, first_id bigint, first_clause int, second_id bigint, second_clause int, score double"
+
+
 def align(chapters_: DataFrame, m: Model) -> DataFrame:
     """(chapter_id, first_id, second_id, score): pairs of sentences, by their best clauses."""
     shared = chapters_.sparkSession.sparkContext.broadcast(m)
@@ -430,16 +455,78 @@ def align(chapters_: DataFrame, m: Model) -> DataFrame:
             out = []
             for row in b.itertuples():
                 a, z = _sides(row, shared.value)
-                core = dict(zip(row.first_id, row.first_core))
                 best: dict[tuple[int, int], float] = {}
                 for x, y, s in chapter_pairs(a, z, shared.value):
                     key = (a[x].sentence, z[y].sentence)
-                    if core[key[0]]:
-                        best[key] = max(s, best.get(key, -9.0))
+                    best[key] = max(s, best.get(key, -9.0))
                 out += [(row.chapter_id, i, j, s) for (i, j), s in best.items()]
             yield pd.DataFrame(out, columns=["chapter_id", "first_id", "second_id", "score"])
 
-    return chapters_.mapInPandas(run, "chapter_id bigint, first_id bigint, second_id bigint, score double")
+    whole = chapters_.where("part < 0").mapInPandas(run, "chapter_id bigint, first_id bigint, second_id bigint, score double")
+    long = chapters_.where("part >= 0")
+    if long.isEmpty():
+        return whole
+    return whole.unionByName(_align_long(long, m).groupBy("chapter_id", "first_id", "second_id").agg(F.max("score").alias("score")))
+
+
+def _clauses(parts: DataFrame, m: Model) -> DataFrame:
+    """(chapter_id, side, id, clause, text, pos) of the clauses of long chapters, each once, in order."""
+    shared = parts.sparkSession.sparkContext.broadcast(m.stock)
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in rows:
+            out = []
+            for row in b.itertuples():
+                for side, ids, texts, core in ((0, row.first_id, row.first_text, row.first_core), (1, row.second_id, row.second_text, row.second_core)):
+                    for k, (i, text, own) in enumerate(zip(ids, texts, core)):
+                        if own:
+                            out += [(row.chapter_id, side, i, n, c, row.part, k) for n, c in enumerate(clauses(text, shared.value))]
+            yield pd.DataFrame(out, columns=["chapter_id", "side", "id", "clause", "text", "part", "k"])
+
+    made = parts.mapInPandas(run, "chapter_id bigint, side int, id bigint, clause int, text string, part int, k int")
+    return cut_lineage(ranked(cut_lineage(made), ["chapter_id", "side"], ["part", "k", "clause"], "pos").drop("part", "k"))
+
+
+def _align_long(parts: DataFrame, m: Model) -> DataFrame:
+    """Pairs of clauses of chapters in parts: see the module's docstring."""
+    shared = parts.sparkSession.sparkContext.broadcast(m)
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in rows:
+            out = []
+            for row in b.itertuples():
+                a, z = ([u for i, x in enumerate(side) for u in units([i], [x["text"]], han, shared.value.stock, True)] for side, han in ((row.a, True), (row.b, False)))
+                for x, y, s in chapter_pairs(a, z, shared.value):
+                    p, q = row.a[a[x].sentence], row.b[z[y].sentence]
+                    if p["core"]:
+                        out.append((row.chapter_id, p["id"], p["clause"], q["id"], q["clause"], s))
+            yield pd.DataFrame(out, columns=["chapter_id", "first_id", "first_clause", "second_id", "second_clause", "score"])
+
+    left, found, diagonal = _clauses(parts, m), None, True
+    while True:
+        sizes = left.groupBy("chapter_id").agg(*[F.count(F.when(F.col("side") == k, 1)).alias(f"n{k + 1}") for k in (0, 1)]).where("n1 > 0 and n2 > 0")
+        placed = ranked(left.join(sizes, "chapter_id"), ["chapter_id", "side"], ["pos"]).withColumn("n", F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n2")))
+        if diagonal:
+            keyed = _diagonal(placed).withColumn("other", F.col("part"))
+        else:  # every part of what is left of one side meets every one of the other
+            mine, count = F.floor(F.col("rank") / PART).cast("int"), F.ceil(F.when(F.col("side") == 0, F.col("n2")).otherwise(F.col("n1")) / PART).cast("int")
+            keyed = placed.withColumn("_mine", mine).withColumn("_theirs", F.explode(F.sequence(F.lit(0), count - 1))).withColumn("core", F.lit(True)).withColumn(
+                "part", F.when(F.col("side") == 0, F.col("_mine")).otherwise(F.col("_theirs"))).withColumn("other", F.when(F.col("side") == 0, F.col("_theirs")).otherwise(F.col("_mine")))
+        item = F.struct("pos", "id", "clause", "text", "core")
+        grouped = keyed.groupBy("chapter_id", "part", "other").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == k, item))).alias("ab"[k]) for k in (0, 1)])
+        pairs = cut_lineage(grouped.mapInPandas(run, FOUND))
+        # A clause may have found one in several parts: what is best for both stays.
+        ends = [["chapter_id", f"{x}_id", f"{x}_clause"] for x in ("first", "second")]
+        for keys in ends:
+            best = pairs.groupBy(*keys).agg(F.max("score").alias("_best"))
+            pairs = pairs.join(best, keys).where("score >= _best").drop("_best") if not diagonal else pairs
+        new = cut_lineage(pairs.distinct())
+        found = new if found is None else cut_lineage(found.unionByName(new))
+        if not diagonal and new.isEmpty():
+            return found
+        used = [new.select("chapter_id", F.lit(k).alias("side"), F.col(f"{x}_id").alias("id"), F.col(f"{x}_clause").alias("clause")) for k, x in enumerate(("first", "second"))]
+        left = cut_lineage(left.join(used[0].unionByName(used[1]).distinct(), ["chapter_id", "side", "id", "clause"], "left_anti"))
+        diagonal = False
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:

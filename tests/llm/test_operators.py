@@ -389,12 +389,41 @@ def test_alignment_of_generated_chapters(spark, monkeypatch):
         truth |= {(i, j) for i, x in ids["zh"] for j, y in ids["en"] if set(x) & set(y)}
     s = spark.createDataFrame(data, "sentence_id bigint, chapter_id bigint, lang string, sent int, text string")
     m = spark.createDataFrame([], "trad string, simp string")
+    results = []
     for part in (2000, 10):
         monkeypatch.setattr(bitext, "PART", part)
         c = common.cut_lineage(bitext.chapters(s, m))
         got = {(r.first_id, r.second_id) for r in bitext.align(c, bitext.train(c)).collect()}
         hit = len(got & truth)
         assert hit / len(truth) > 0.9 and hit / len(got) > 0.9, (part, hit, len(got), len(truth))
+        results.append(got)
+    assert len(results[0] & results[1]) > 0.97 * len(results[0] | results[1])
+
+
+def test_a_long_chapter_loses_nothing_that_moved(spark, monkeypatch):
+    """Half of one side comes first on the other: in parts as well as at once, all of it is found."""
+    rng = random.Random(13)
+    words = [("".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(2)), "".join(rng.choices("abcdefghijklmnop", k=6))) for _ in range(80)]
+    some = [rng.sample(words, 5) for _ in range(600)]
+    zh, en = ["".join(w for w, _ in x) for x in some], [" ".join(w for _, w in x) for x in some]
+    data, first = [], []
+    for chapter in range(40):
+        order = rng.sample(range(len(zh)), 48)
+        moved = order[len(order) // 2 :] + order[: len(order) // 2] if chapter == 0 else order
+        first = first or order
+        for lang, side, of in (("zh", order, zh), ("en", moved, en)):
+            for sent, k in enumerate(side):
+                data.append((chapter * 2000 + k + 1000 * (lang == "en"), chapter, lang, sent if sent % 9 else None, of[k] + ("。" if lang == "zh" else ".")))
+    # The chapter asked for has all its orders.
+    data = [(i, c, lang, s if c else k, t) for k, (i, c, lang, s, t) in enumerate(data)]
+    s = spark.createDataFrame(data, "sentence_id bigint, chapter_id bigint, lang string, sent int, text string")
+    m = spark.createDataFrame([], "trad string, simp string")
+    for part in (1000, 12):
+        monkeypatch.setattr(bitext, "PART", part)
+        c = common.cut_lineage(bitext.chapters(s, m))
+        got = {(r.first_id, r.second_id) for r in bitext.align(c, bitext.train(c)).where("chapter_id = 0").collect()}
+        want = {(k, k + 1000) for k in first}
+        assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got), (part, len(got), len(got & want))
 
 
 # --- the queries over the smallest tables
