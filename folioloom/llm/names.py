@@ -8,7 +8,7 @@ match what none of its parts did: an entry with initials only, one written in th
 script.  Rounds go on until none merges.
 
 The lexicon that reads names is learned from the entries, over all of them: which tokens are
-given names (they occur in many works), which nicknames and misspellings stand beside which
+given names (they lead names in several works, more often than they end them), which nicknames and misspellings stand beside which
 given name, which Chinese parts stand beside which Latin name, and which characters replace
 each other in transliterations.  Its tables hold what occurs twice, whatever the size of the
 corpus; one with more than 500,000 rows is an error.  A given name that isn't learned stands
@@ -16,9 +16,12 @@ for itself, as it is spelt.
 
 Spellings are nodes: an entry is linked to its spellings, and spellings of one block are
 linked if they are close, found through keys with one letter left out, or two in words that
-may differ by two slips.  No pairs of entries
+may differ by two slips.  No pairs of entries or clusters
 are formed before the result, so a hot name costs no more than its rows.
 
+Names may be in any alphabet; the forms of address, generations and kinds of firms that are
+given as fixed values are those of two writing systems.
+
 Defined results: repeated entries count once; an entry without id or work takes no part; a
 null or empty canonical, and one that can't be read as a name (a given name alone), links
 only to entries of the same work with the same text if it isn't blank; null variants,
@@ -59,7 +62,7 @@ _FIRM_LATIN = {w: k for k, ws in FIRMS.items() for w in ws[:2]}
 _FIRM_CHINESE = sorted(((ws[2], k) for k, ws in FIRMS.items()), key=lambda x: -len(x[0]))
 
 HAN = re.compile(r"[㐀-鿿豈-﫿]")
-_TOKEN = re.compile(r"[a-z]+\.?")
+_TOKEN = re.compile(r"[^\W\d_]+\.?")
 _RAILWAY = re.compile(r"\bf\s*\.\s*c\b\.?")
 
 
@@ -95,7 +98,7 @@ def close(a: str, b: str) -> bool:
 
 
 def plain_latin(s: str) -> str:
-    s = "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if unicodedata.category(c) != "Mn")
+    s = "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if unicodedata.category(c) != "Mn")
     s = re.sub(r"(?<=[a-z])0|0(?=[a-z])", "o", s)
     s = re.sub(r"(?<=[a-z])1|1(?=[a-z])", "l", s)
     return re.sub(r"\s+", " ", re.sub(r"[-‐‑–_/]", " ", s)).strip()
@@ -135,7 +138,7 @@ def read_latin(text: str, railway: bool = True) -> Latin | None:
     if railway:
         s = _RAILWAY.sub("fc", s)
     parts = [p.strip() for p in s.split(",")]
-    words = [w for p in parts for w in re.findall(r"[a-z]+\.?|&", p)]
+    words = [w for p in parts for w in re.findall(r"[^\W\d_]+\.?|&", p)]
     for w in words:
         if kind := firm_word(w):
             body = re.sub(r"\b(\w+)\.", r"\1", " , ".join(parts)).replace("&", " & ")
@@ -334,16 +337,27 @@ def _counted(rows: DataFrame, f, keys: str) -> DataFrame:
     return counted.groupBy("a", "z").agg(F.sum("n").alias("n"), F.countDistinct("work_id").alias("works"))
 
 
+#: Stands beside a token that ends a name.
+LAST = "\x00last"
+
+
+def slip(token: str, name: str, times: float) -> bool:
+    """Whether a token is likelier a misspelling of a name that occurs so many times as often: each letter needs more of them."""
+    return len(token) >= 3 and times > 5 and edit_distance(token, name, 2) <= (2 if times > 20 and len(token) >= 6 else 1)
+
+
 def learn(entries: DataFrame, to_simplified: dict) -> Lexicon:
     """The lexicon of all entries.  What is collected occurs twice, at every size; beyond a limit it is an error."""
     entries = entries.where("work_id is not null")
-    works = entries.select("work_id").distinct().count()
 
     def latin_heads(canonical, variants):
         read = [read_latin(x) for x in forms(canonical, variants, to_simplified) if x and not HAN.search(x)]
         # A form with points shortens a name; a comma form has told its given names.
         heads = {first_given(r) for r in read if r and not r.firm}
         heads = {h for h in heads if len(h) >= 2 and not h.endswith(".")}
+        ends = {(r.surname or r.loose)[-1].rstrip(".") for r in read if r and not r.firm and (r.surname or len(r.loose) > 1)}
+        for t in ends:
+            yield t, LAST
         for h in heads:
             yield h, ""
             for other in heads:
@@ -352,11 +366,11 @@ def learn(entries: DataFrame, to_simplified: dict) -> Lexicon:
 
     rows = bounded_rows(_counted(entries, latin_heads, "").where("works >= 2"), 500_000, "the lexicon's given names")
     n_of = {r.a: (r.n, r.works) for r in rows if not r.z}
+    last = {r.a: r.n for r in rows if r.z == LAST}
     beside: dict[str, list[tuple[int, str]]] = {}
     for r in rows:
         if r.z and r.z in n_of and n_of[r.z][0] > n_of.get(r.a, (0, 0))[0]:
             beside.setdefault(r.a, []).append((r.n, r.z))
-    common = max(2, works * 0.12)
     given: dict[str, str] = {}
     nick: dict[str, tuple[str, ...]] = {}
     for t, (n, w) in sorted(n_of.items(), key=lambda kv: -kv[1][0]):
@@ -368,7 +382,7 @@ def learn(entries: DataFrame, to_simplified: dict) -> Lexicon:
                 given[t] = found[0]
             else:
                 nick[t] = found
-        elif w >= common and not any(edit_distance(t, g, 1) <= 1 and n_of[g][0] > 5 * n for g in set(given.values())):
+        elif n > last.get(t, 0) and not any(slip(t, g, n_of[g][0] / n) for g in set(given.values())):
             given[t] = t
     lexicon = Lexicon(given, nick)
 
@@ -637,6 +651,20 @@ def profiles(entries: DataFrame, to_simplified: dict, lexicon: Lexicon) -> DataF
     return entries.select("entry_id", "work_id", "canonical", "variants").mapInPandas(run, PROFILE)
 
 
+def _keyed(words: DataFrame, shared, ddl: str) -> DataFrame:
+    """Rows with script and word, for each key of the word: close words share one."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            # As many letters left out as `close` and `han_close` allow slips: no close pair is missed.
+            keys = [deletions(w, 2 if len(w) >= 6 else 1) if s == "latin" else deletions("".join(map(shared.value.of_class, w))) for s, w in zip(b["script"], b["word"])]
+            r = b.loc[b.index.repeat([len(k) for k in keys])].reset_index(drop=True)
+            r["key"] = [k for ks in keys for k in ks]
+            yield r
+
+    return words.mapInPandas(run, f"{ddl}, key string")
+
+
 def spelling_links(nodes: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(a, b): close spellings of one block, of nodes (node, block, script, word).
 
@@ -647,17 +675,7 @@ def spelling_links(nodes: DataFrame, lexicon: Lexicon) -> DataFrame:
     else:
         nodes = nodes.withColumn("fresh", F.lit(True))
     shared = nodes.sparkSession.sparkContext.broadcast(lexicon)
-
-    def keyed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            # As many letters left out as `close` and `han_close` allow slips: no close pair is missed.
-            keys = [deletions(w, 2 if len(w) >= 6 else 1) if s == "latin" else deletions("".join(map(shared.value.of_class, w))) for s, w in zip(b["script"], b["word"])]
-            n = [len(k) for k in keys]
-            r = b.loc[b.index.repeat(n)].reset_index(drop=True)
-            r["key"] = [k for ks in keys for k in ks]
-            yield r
-
-    k = nodes.mapInPandas(keyed, "node bigint, block string, script string, word string, fresh boolean, key string")
+    k = _keyed(nodes, shared, "node bigint, block string, script string, word string, fresh boolean")
     a = k.select("block", "script", "key", F.col("node").alias("a"), F.col("word").alias("wa"), F.col("fresh").alias("fa"))
     b = k.select("block", "script", "key", F.col("node").alias("b"), F.col("word").alias("wb"), F.col("fresh").alias("fb"))
     pairs = a.join(b, ["block", "script", "key"]).where("a < b and (fa or fb)").select("a", "b", "script", "wa", "wb").distinct()
@@ -704,7 +722,7 @@ def resolve(entries: DataFrame, to_simplified: dict, lexicon: Lexicon) -> DataFr
             F.array_sort(F.collect_set(F.when(F.col("script") == "han", F.col("word")))).alias("han"))
         merged = cut_lineage(words)
         # Rematch: clusters of one block that each lack the other's script; open entries that agree with a block's clusters.
-        new = _rematch_clusters(merged, shared).unionByName(_rematch_open(open_, certain, merged, found, shared))
+        new = _rematch_clusters(merged, shared).unionByName(_rematch_open(open_, merged, shared))
         new = cut_lineage(new.distinct())
         if new.isEmpty():
             break
@@ -727,48 +745,62 @@ def resolve(entries: DataFrame, to_simplified: dict, lexicon: Lexicon) -> DataFr
         "entry_id", "work_id", F.coalesce("label", "entry_id").alias("entity"))
 
 
-LINK = "a bigint, b bigint, block string"
+def _only(mine: DataFrame, theirs: DataFrame, me: str, them: str) -> DataFrame:
+    """(me, them): who has a single choice among those that share one of its letters in its block.
+
+    Each group of (block, letter) is told by its smallest and largest member, so nothing is paired.
+    """
+    groups = theirs.groupBy("block", "letter").agg(F.min(them).alias("lo"), F.max(them).alias("hi"))
+    return mine.join(groups, ["block", "letter"]).groupBy(me).agg(F.min("lo").alias(them), F.max("hi").alias("_hi")).where(f"{them} = _hi").drop("_hi")
 
 
 def _rematch_clusters(merged: DataFrame, shared) -> DataFrame:
-    """Clusters of one block without a common script, joined if each is the other's only choice."""
-    latin = merged.where("size(latin) > 0 and size(han) = 0").select("block", F.col("cluster").alias("a"), F.col("latin").alias("la"))
-    han = merged.where("size(han) > 0 and size(latin) = 0").select("block", F.col("cluster").alias("b"), F.col("han").alias("hb"))
-    # The first letters of a transliteration tell which pairs may be one name.
-    def check(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Clusters of one block without a common script, joined if each is the other's only choice.
+
+    The first letters of a transliteration tell which may be one name.
+    """
+
+    def letters(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         initial = shared.value.initial
         for p in it:
-            ok = [any(w[0] in initial.get(h[0], "") for w in la for h in hb) for la, hb in zip(p["la"], p["hb"])]
-            yield p.loc[ok, ["a", "b", "block"]]
+            p["letters"] = [sorted({x for h in han for x in initial.get(h[0], "")}) for han in p["han"]]
+            yield p[["block", "b", "letters"]]
 
-    pairs = latin.join(han, "block").mapInPandas(check, LINK)
-    one_a = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("na"))
-    one_b = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
-    return pairs.join(one_a, "a").join(one_b, "b").where("na = 1 and nb = 1").select("a", "b", F.lit(None).cast("string").alias("block"))
+    latin = merged.where("size(latin) > 0 and size(han) = 0").select(
+        "block", F.col("cluster").alias("a"), F.explode(F.array_distinct(F.transform("latin", lambda w: F.substring(w, 1, 1)))).alias("letter"))
+    han = merged.where("size(han) > 0 and size(latin) = 0").select("block", F.col("cluster").alias("b"), "han").mapInPandas(
+        letters, "block string, b bigint, letters array<string>").select("block", "b", F.explode("letters").alias("letter"))
+    return _only(latin, han, "a", "b").join(_only(han, latin, "b", "a"), ["a", "b"]).select("a", "b", F.lit(None).cast("string").alias("block"))
 
 
-def _rematch_open(open_: DataFrame, certain: DataFrame, merged: DataFrame, found: DataFrame, shared) -> DataFrame:
-    """Entries with several readings, joined to the clusters that agree with one of them if they are of one block."""
+def _rematch_open(open_: DataFrame, merged: DataFrame, shared) -> DataFrame:
+    """Entries with several readings, joined to the clusters that agree with one of them if they are of one block.
+
+    Spellings meet by their keys, each once in a block: entries and clusters only follow theirs.
+    """
     reading = open_.select(
         "entry_id", "latin", "han",
         F.explode(F.expr(
             "case when size(given) = 0 then array(cast(array() as array<string>)) when size(given) = 1 then transform(given[0], x -> array(x)) "
             "else flatten(transform(given[0], x -> transform(given[1], y -> array(x, y)))) end")).alias("names"),
         "work_id", "firm", "junior")
-    keyed = reading.withColumn("block", F.concat_ws("|", "work_id", "firm", F.col("junior").cast("string"), F.concat_ws("+", "names")))
-    pairs = keyed.select(F.col("entry_id").alias("a"), "block", F.col("latin").alias("la"), F.col("han").alias("ha")).join(
-        merged.select("block", F.col("cluster").alias("b"), F.col("latin").alias("lb"), F.col("han").alias("hb")), "block")
+    in_block = reading.withColumn("block", F.concat_ws("|", "work_id", "firm", F.col("junior").cast("string"), F.concat_ws("+", "names"))).join(
+        merged.select("block").distinct(), "block", "left_semi")
+    spelt = F.explode(F.concat(
+        F.transform("latin", lambda w: F.struct(F.lit("latin").alias("script"), w.alias("word"))),
+        F.transform("han", lambda w: F.struct(F.lit("han").alias("script"), w.alias("word"))))).alias("s")
+    mine = in_block.select(F.col("entry_id").alias("a"), "block", spelt).select("a", "block", "s.*")
+    theirs = merged.select(F.col("cluster").alias("b"), "block", spelt).select("b", "block", "s.*")
+    asked, known = (_keyed(df.select("block", "script", "word").distinct(), shared, "block string, script string, word string") for df in (mine, theirs))
+    pairs = asked.withColumnRenamed("word", "wa").join(known.withColumnRenamed("word", "wb"), ["block", "script", "key"]).select("block", "script", "wa", "wb").distinct()
 
     def check(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = shared.value
         for p in it:
-            ok = [
-                any(close(x, y) for x in la for y in lb) or any(lexicon.han_close(x, y) for x in ha for y in hb)
-                for la, ha, lb, hb in zip(p["la"], p["ha"], p["lb"], p["hb"])]
-            yield p.loc[ok, ["a", "b", "block"]]
+            yield p.loc[[close(x, y) if s == "latin" else shared.value.han_close(x, y) for s, x, y in zip(p["script"], p["wa"], p["wb"])]]
 
-    hits = pairs.mapInPandas(check, LINK)
-    only = hits.groupBy("a").agg(F.countDistinct("block").alias("n")).where("n = 1")
+    near = pairs.mapInPandas(check, "block string, script string, wa string, wb string")
+    hits = mine.withColumnRenamed("word", "wa").join(near, ["block", "script", "wa"]).join(theirs.withColumnRenamed("word", "wb"), ["block", "script", "wb"]).select("a", "b", "block").distinct()
+    only = hits.groupBy("a").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo = hi").select("a")
     return hits.join(only, "a").select("a", "b", "block")
 
 
