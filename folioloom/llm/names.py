@@ -382,7 +382,7 @@ def learn(entries: DataFrame, to_simplified: dict) -> Lexicon:
                 given[t] = found[0]
             else:
                 nick[t] = found
-        elif n > last.get(t, 0) and not any(slip(t, g, n_of[g][0] / n) for g in set(given.values())):
+        elif n > last.get(t, 0) and not any(slip(t, g, n_of[g][0] / n) for g in (*given, *nick)):
             given[t] = t
     lexicon = Lexicon(given, nick)
 
