@@ -7,8 +7,13 @@ the output shards by draws without replacement, down to the numbers by shard and
 Each shard draws that many blocks of a permutation of the source's blocks, so shards are
 disjoint, and shuffles its documents.
 
-Only the numbers of blocks by shard and source are made on the driver (shards x sources);
-what a document's rank and block are is computed where the document is.
+Nothing of the size of the output is made in one place: a block's shard is found by walking
+down the tree, whose draws every worker repeats from their seeds, and what a document's rank
+and block are is computed where the document is.  A shard has about `SHARD_TOKENS`, however
+many there are.
+
+The last pass through a source ends at the document that doesn't fit; what is open then is
+filled by the largest documents behind it that fit, until none does.
 
 The size of the mixture is, unless given, the largest at which every source that has tokens
 meets its share within its `max_repeats`.  A source without tokens can't contribute: its
@@ -24,7 +29,7 @@ targets count once; no targets or no documents give an empty mixture.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import gcd
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 from folioloom.llm.common import bounded_rows, cut_lineage, ranked, table
 from folioloom.llm.tokens import with_tokens
 
-SHARD_TOKENS, MOST_SHARDS, BLOCKS_PER_SHARD = 200_000, 65_536, 64
+SHARD_TOKENS, BLOCKS_PER_SHARD = 200_000, 64
 
 
 def quotas(available: dict[str, int], shares: dict[str, float], repeats: dict[str, int], total: int | None = None) -> dict[str, int]:
@@ -49,71 +54,92 @@ def quotas(available: dict[str, int], shares: dict[str, float], repeats: dict[st
     return {s: min(int(round(total * w / weight)), repeats[s] * available[s]) for s, w in usable.items()}
 
 
-def splitting_tree(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """(shards, sources) numbers of blocks; sums over shards are exactly `blocks`."""
-    out = np.zeros((shards, len(blocks)), np.int64)
-    todo = [(0, shards, blocks.astype(np.int64))]
+@lru_cache(1 << 15)
+def _left(first: int, n: int, have: tuple[int, ...], seed: int) -> tuple[int, ...]:
+    """Blocks of each source for the first half of n shards that hold `have`, drawn without replacement."""
+    total = sum(have)
+    if not total:
+        return have
+    rng = np.random.default_rng([seed, first, n])
+    # Shard k of the whole gets the blocks between two exact fractions of the total.
+    return tuple(rng.multivariate_hypergeometric(np.array(have), total * (n // 2) // n, method="marginals").tolist())
+
+
+def shard_of(source: np.ndarray, place: np.ndarray, blocks: tuple[int, ...], shards: int, seed: int) -> np.ndarray:
+    """The shard of the block at each place of its source's permutation, by the splitting tree."""
+    out = np.zeros(len(place), np.int64)
+    todo = [(0, shards, blocks, np.arange(len(place)), place.astype(np.int64))]
     while todo:
-        first, n, have = todo.pop()
+        first, n, have, at, p = todo.pop()
         if n == 1:
-            out[first] = have
+            out[at] = first
             continue
-        left = n // 2
-        # Shard k of the whole gets the blocks between two exact fractions of the total.
-        total = int(have.sum())
-        take = total * left // n
-        rng = np.random.default_rng([seed, first, n])
-        drawn = rng.multivariate_hypergeometric(have, take, method="marginals") if total else have * 0
-        todo += [(first, left, drawn), (first + left, n - left, have - drawn)]
+        left = _left(first, n, have, seed)
+        mine = np.array(left, np.int64)[source[at]]
+        go = p < mine
+        if go.any():
+            todo.append((first, n // 2, left, at[go], p[go]))
+        if not go.all():
+            todo.append((first + n // 2, n - n // 2, tuple(h - x for h, x in zip(have, left)), at[~go], (p - mine)[~go]))
     return out
 
 
-def permutation(n: int, seed: int) -> tuple[int, int]:
-    """(a, c) of a permutation i -> (a * i + c) % n that every row can compute for itself."""
-    rng = np.random.default_rng([seed, n])
-    a = int(rng.integers(1, max(2, n)))
-    while gcd(a, n) != 1:
-        a = a + 1 if a + 1 < n else 1
-    return a, int(rng.integers(0, n))
+def permuted(k: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Where a permutation of 0..n-1 puts each k: a Feistel network, walked until it is below n."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+    keys = np.random.default_rng([seed, n]).integers(1, 1 << 62, 4).astype(np.uint64)
+    out = np.array(k, np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        x = out[todo]
+        a, b = x >> np.uint64(half), x & mask
+        for key in keys:
+            h = (b + key) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            a, b = b, a ^ ((h >> np.uint64(32)) & mask)
+        out[todo] = a << np.uint64(half) | b
+        todo = todo[out[todo] >= np.uint64(n)]
+    return out.astype(np.int64)
 
 
-#: Documents passed over in the last pass at most, and the share of a quota that may stay open before that.
-SKIPS, CLOSE = 6, 1e-4
+#: Documents of a source looked at in one pass that fills what is open, and the share of a quota that may stay open.
+LOOKED_AT, CLOSE = 1000, 1e-4
 
 
-def last_pass(stream: DataFrame, rest: dict[str, int]) -> tuple[dict[str, list[tuple[int, int]]], dict[str, int]]:
-    """How the last, partial pass through each source ends: documents passed over, and one that fills the gap.
+def last_pass(stream: DataFrame, rest: dict[str, int]) -> tuple[dict[str, int], dict[str, dict[int, int]]]:
+    """How the last, partial pass through each source ends: its first document left out, by rank, and the
+    documents behind it that fill what is open, with the place of each.
 
-    A document that doesn't fit whole is passed over, and those behind it move up, until hardly
-    anything is open; then the largest document that fits the gap is taken.  A few rows for
-    each source come to the driver.
+    At most `LOOKED_AT` rows of each source come to the driver at a time; passes go on until hardly
+    anything is open or nothing fits.
     """
     source = F.col("source")
-    skips: dict[str, list[tuple[int, int]]] = {s: [] for s in rest}
     limit = F.create_map(*[x for s, r in rest.items() for x in (F.lit(s), F.lit(r))])[source]
-    gap = dict(rest)
-
-    def placed() -> DataFrame:
-        shift, out = F.lit(0), F.lit(False)
-        for s, found in skips.items():
-            for r, size in found:
-                shift = shift + F.when((source == s) & (F.col("rank") > r), size).otherwise(0)
-                out = out | (source == s) & (F.col("rank") == r)
-        end = F.when(~out, F.col("tokens_before") + F.col("tokens") - shift)
-        return stream.withColumn("_end", end).withColumn("_fits", F.col("_end") <= limit)
-
-    for _ in range(SKIPS):
-        state = placed().groupBy("source").agg(F.max(F.when(F.col("_fits"), F.col("_end"))).alias("filled"), F.min(F.when(~F.col("_fits"), F.struct("rank", "tokens"))).alias("next")).collect()
-        gap = {r.source: rest[r.source] - (r.filled or 0) for r in state}
-        more = [r for r in state if r.next is not None and gap[r.source] > CLOSE * max(rest[r.source], 1)]
-        if not more:
-            break
-        for r in more:
-            skips[r.source].append((r.next.rank, r.next.tokens))
-    filled = {r.source: r.n or 0 for r in placed().groupBy("source").agg(F.max(F.when(F.col("_fits"), F.col("_end"))).alias("n")).collect()}
-    room = F.create_map(*[x for s, r in rest.items() for x in (F.lit(s), F.lit(r - filled.get(s, 0)))])[source]
-    spare = placed().where(~F.coalesce("_fits", F.lit(False)) & (F.col("tokens") <= room)).groupBy("source").agg(F.max(F.struct("tokens", "doc_id")).alias("best"))
-    return skips, {r.source: r.best.doc_id for r in spare.collect()}
+    over = F.col("tokens_before") + F.col("tokens") > limit
+    state = stream.groupBy("source").agg(F.min(F.when(over, F.col("rank"))).alias("cut"), F.max(F.when(~over, F.col("tokens_before") + F.col("tokens"))).alias("filled")).collect()
+    cut = {r.source: r.cut for r in state if r.cut is not None}
+    place = {r.source: r.filled or 0 for r in state if r.cut is not None}
+    fillers: dict[str, dict[int, int]] = {s: {} for s in cut}
+    least: dict[str, tuple[int, int]] = {}  # the last document looked at, in the order of tokens and id
+    while open_ := [s for s in cut if rest[s] - place[s] > CLOSE * rest[s]]:
+        room = F.create_map(*[x for s in open_ for x in (F.lit(s), F.lit(rest[s] - place[s]))])[source]
+        first = F.create_map(*[x for s in open_ for x in (F.lit(s), F.lit(cut[s]))])[source]
+        behind = stream.where(source.isin(open_) & (F.col("rank") >= first) & (F.col("tokens") <= room))
+        for s, (t, d) in least.items():
+            behind = behind.where((source != s) | (F.col("tokens") < t) | (F.col("tokens") == t) & (F.col("doc_id") < d))
+        order = Window.partitionBy("source").orderBy(F.desc("tokens"), F.desc("doc_id"))
+        rows = behind.select("source", "tokens", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= LOOKED_AT).orderBy("source", "_n").collect()
+        for s in open_:
+            own = [r for r in rows if r.source == s]
+            for r in own:
+                if place[s] + r.tokens <= rest[s]:
+                    fillers[s][r.doc_id] = place[s]
+                    place[s] += r.tokens
+                least[s] = (r.tokens, r.doc_id)
+            if not own:
+                place[s] = rest[s]  # nothing fits
+    return cut, fillers
 
 
 def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7) -> DataFrame:
@@ -130,21 +156,17 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
         return spark.createDataFrame([], ddl)
     sources = sorted(quota)
     whole = sum(quota.values())
-    shards = int(min(MOST_SHARDS, max(1, -(-whole // SHARD_TOKENS))))
+    shards = max(1, -(-whole // SHARD_TOKENS))
     block = max(1, whole // (shards * BLOCKS_PER_SHARD))
-    blocks = np.array([-(-quota[s] // block) for s in sources])
-    counts = splitting_tree(blocks, shards, seed)
-    ends = counts.cumsum(0)  # (shards, sources): the permuted blocks of a source before the end of each shard
-    perms = [permutation(int(n), seed + i) for i, n in enumerate(blocks)]
-    
+    blocks = tuple(-(-quota[s] // block) for s in sources)
 
     stream = cut_lineage(ranked(
         own.where(F.col("source").isin(sources)).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), ["source"], ["_h", "doc_id"], running="tokens"))
-    skips, last = last_pass(stream, {s: quota[s] % have[s] for s in sources})
-    shared = spark.sparkContext.broadcast((sources, quota, have, block, blocks, ends, perms, skips, last))
+    cut, fillers = last_pass(stream, {s: quota[s] % have[s] for s in sources})
+    shared = spark.sparkContext.broadcast((sources, quota, have, block, blocks, cut, fillers))  # a few rows for each source
 
     def draw(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sources_, quota_, have_, block_, blocks_, ends_, perms_, skips_, last_ = shared.value
+        sources_, quota_, have_, block_, blocks_, cut_, fillers_ = shared.value
         for b in rows:
             parts = []
             for name, at in b.groupby("source").indices.items():
@@ -153,21 +175,14 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
                 tokens, doc, rank = b["tokens"].to_numpy(np.int64)[at], b["doc_id"].to_numpy()[at], b["rank"].to_numpy(np.int64)[at]
                 final = quota_[name] // n
                 for copy in range(final + (quota_[name] % n > 0)):
-                    position = before + copy * n
-                    skipped = np.zeros(len(at), bool)
+                    position, use = before + copy * n, np.ones(len(at), bool)
                     if copy == final:
-                        for r, size in skips_[name]:
-                            position = position - np.where(rank > r, size, 0)
-                            skipped |= rank == r
-                    filler = (doc == last_.get(name)) & (copy == final)
-                    position = np.where(filler, quota_[name] - 1, position)
-                    use = filler | ~skipped & (position + tokens <= quota_[name])
-                    a, c = perms_[i]
-                    nb = int(blocks_[i])
-                    # Python's integers: a * block may exceed 64 bits for very many blocks.
-                    place = np.array([(a * int(k) + c) % nb for k in position[use] // block_], np.int64)
+                        use = rank < cut_.get(name, n + 1)
+                        for k in np.flatnonzero(np.isin(doc, list(fillers_.get(name, {})))).tolist():
+                            position[k], use[k] = copy * n + fillers_[name][doc[k]], True
+                    place = permuted(position[use] // block_, blocks_[i], seed + i)
                     parts.append(pd.DataFrame({
-                        "shard": np.searchsorted(ends_[:, i], place, "right"), "doc_id": doc[use],
+                        "shard": shard_of(np.full(len(place), i), place, blocks_, shards, seed), "doc_id": doc[use],
                         "source": name, "copy": copy, "tokens": tokens[use]}))
             if parts:
                 yield pd.concat(parts)

@@ -198,11 +198,31 @@ def test_containers_of_a_million_tokens(spark, monkeypatch):
 def test_splitting_tree_is_exact():
     import numpy as np
 
-    blocks = np.array([17, 0, 5, 1000])
-    tree = mixture.splitting_tree(blocks, 7, 1)
-    assert (tree.sum(0) == blocks).all() and tree.sum(1).max() - tree.sum(1).min() <= 1
-    a, c = mixture.permutation(12, 3)
-    assert sorted((a * i + c) % 12 for i in range(12)) == list(range(12))
+    blocks, shards = (17, 0, 5, 1000), 7
+    source = np.repeat(np.arange(4), blocks)
+    place = np.concatenate([np.arange(n) for n in blocks])
+    shard = mixture.shard_of(source, place, blocks, shards, 1)
+    sizes = np.bincount(shard, minlength=shards)
+    assert sizes.max() - sizes.min() <= 1 and sizes.sum() == sum(blocks)
+    some = np.array([3, 900, 40])
+    assert (mixture.shard_of(source[some], place[some], blocks, shards, 1) == shard[some]).all()
+    for n in (1, 2, 3, 12, 1000, 4097):
+        assert sorted(mixture.permuted(np.arange(n), n, 3).tolist()) == list(range(n))
+    step = np.diff(mixture.permuted(np.arange(1000), 1000, 3))
+    assert len(set(step.tolist())) > 500
+    assert mixture.permuted(np.array([5, (1 << 40) - 1]), 1 << 40, 3).max() < 1 << 40
+
+
+def test_shares_on_the_largest_test_tables(spark):
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    sizes, targets = mixture._sizes(spark, folder), common.table(spark, folder, "mix_targets")
+    reached = [r for r in mixture.report(mixture.mix(sizes, targets), sizes, targets).collect() if r.available]
+    whole = sum(r.target_share for r in reached)
+    assert all(abs(r.share - r.target_share / whole) <= 0.002 * r.target_share / whole and r.most_uses <= r.max_repeats for r in reached)
 
 
 def test_mixture_meets_shares_and_caps(spark, monkeypatch):
