@@ -145,21 +145,24 @@ def align_pairs(chapters: DataFrame, keys: list[str], ref_lang: str = "zh", targ
 
 
 def share_out(ref_weights: list[float], unit_weights: list[float]) -> list[tuple[int, int]]:
-    """The stretch of units for each row: cut where the running weight is nearest to the rows' share."""
+    """The stretch of units for each row: cut where the running weight is nearest to the rows' share.
+
+    The weights of units are positive, so what is nearest within bounds is the nearest at all,
+    brought within the bounds: the cuts of all rows follow from one search.  Where there are
+    enough units every row gets one.
+    """
     rows, units = len(ref_weights), len(unit_weights)
-    whole_ref, whole = max(sum(ref_weights), 1.0), max(sum(unit_weights), 1.0)
-    sums = np.concatenate([[0], np.cumsum(unit_weights)])
-    out, at, expected = [], 0, 0.0
-    for k, w in enumerate(ref_weights[:-1]):
-        left = rows - k - 1
-        expected += whole * (w / whole_ref)
-        lo, hi = (at + 1, units - left) if units >= rows else (at, units)
-        lo = min(max(lo, at), units)
-        hi = min(max(hi, lo), units)
-        cut = lo + int(np.abs(sums[lo : hi + 1] - expected).argmin())
-        out.append((at, cut))
-        at = cut
-    return [*out, (at, units)]
+    ref, sums = np.asarray(ref_weights, float), np.concatenate([[0], np.cumsum(unit_weights)])
+    due = np.cumsum(max(sums[-1], 1.0) * (ref / max(ref.sum(), 1.0)))[:-1]
+    above = np.searchsorted(sums, due).clip(1, units) if units else np.zeros(rows - 1, int)
+    near = above - (due - sums[above - 1] <= sums[above] - due) if units else above
+    row = np.arange(rows - 1)
+    if units >= rows:
+        cut = np.minimum(np.maximum.accumulate(np.maximum(near - row, 1)), units - rows + 1) + row
+    else:
+        cut = np.maximum.accumulate(near)
+    ends = [0, *cut.tolist(), units]
+    return list(zip(ends, ends[1:]))
 
 
 def align_groups(chapters: DataFrame, keys: list[str], ref_lang: str, target_lang: str, profile: str = "quotes", split=None) -> DataFrame:
