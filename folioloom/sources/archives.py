@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import struct
 import zipfile
 import zlib
@@ -20,31 +21,50 @@ from pyspark.sql import functions as F
 from folioloom.functions import text as N
 from folioloom.sources.blocks import links_of
 
-LOCAL, CENTRAL, END = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06"
+#: Signatures of the parts of an archive: a member's header, the directory at the end, its end.
+PART = re.compile(rb"PK(?:\x03\x04|\x01\x02|\x05\x06)")
+#: A member's header: signature, version, flags, method, time, date, checksum, sizes stored and whole, lengths of name and extra field.
+HEADER = struct.Struct("<4s5H3I2H")
+UTF8_NAME = 0x800
 DAMAGED = "zip_central_directory_unreadable"
 
 
+def member_table(data: bytes) -> pd.DataFrame:
+    """(header, name, method, body, size) of everything that looks like a member's header."""
+    rows = []
+    for m in PART.finditer(data):
+        if m.group().endswith(b"\x03\x04") and m.start() + HEADER.size <= len(data):
+            _, _, flags, method, _, _, _, stored, _, name, extra = HEADER.unpack_from(data, m.start())
+            at = m.start() + HEADER.size
+            label = data[at : at + name].decode("utf-8" if flags & UTF8_NAME else "cp437", errors="replace")
+            rows.append((m.start(), label, method, at + name + extra, stored))
+        elif not m.group().endswith(b"\x03\x04"):
+            rows.append((m.start(), None, -1, m.start(), 0))
+    return pd.DataFrame(rows, columns=["header", "name", "method", "body", "size"])
+
+
+def unpacked(raw: bytes, method: int) -> bytes:
+    """A member's bytes; nothing if it is stored in an unknown way or broken."""
+    try:
+        return raw if method == 0 else zlib.decompress(raw, -zlib.MAX_WBITS) if method == 8 else b""
+    except zlib.error:
+        return b""
+
+
 def salvage(data: bytes) -> dict[str, bytes]:
-    """S3: the members by their local headers, up to the central directory.
+    """S3: the members by their own headers, up to the directory.
 
-    Bytes between members are passed over; a member stored in an unknown way is empty; of
-    members with one name the last counts.
+    What looks like a header within a member's bytes is none.  Of members with one name the last counts.
     """
-    found: dict[str, bytes] = {}
-    at = 0
-    while len(data) - at >= 30 and data[at : at + 4] not in (CENTRAL, END):
-        if data[at : at + 4] != LOCAL:
-            at = data.find(LOCAL, at + 1)
-            if at < 0:
-                break
+    table = member_table(data)
+    found, free = {}, 0
+    for header, name, method, body, size in table.itertuples(index=False):
+        if header < free:
             continue
-        flags, how = struct.unpack_from("<HH", data, at + 6)
-        size, _, name_size, extra_size = struct.unpack_from("<IIHH", data, at + 18)
-        body = at + 30 + name_size + extra_size
-        name = data[at + 30 : at + 30 + name_size].decode("utf-8" if flags & 0x800 else "cp437", errors="replace")
-        raw = data[body : body + size]
-        found[name] = raw if how == 0 else zlib.decompress(raw, -15) if how == 8 else b""
-        at = body + size
+        if method < 0:  # the directory begins
+            break
+        free = body + size
+        found[name] = unpacked(data[body:free], method)
     return found
 
 
@@ -59,28 +79,29 @@ def members(data: bytes) -> tuple[dict[str, bytes], str | None]:
 
 def package_path(entries: dict[str, bytes]) -> str | None:
     """Where the container says the package is, else the first package file."""
-    if container := entries.get("META-INF/container.xml"):
-        for e in ElementTree.fromstring(container).iter():
-            if e.tag.endswith("rootfile") and e.get("full-path"):
-                return e.get("full-path")
-        return None
-    return next((n for n in entries if n.endswith(".opf")), None)
+    container = entries.get("META-INF/container.xml")
+    if not container:
+        return min((n for n in entries if n.endswith(".opf")), key=list(entries).index, default=None)
+    named = [e.get("full-path") for e in ElementTree.fromstring(container).findall(".//{*}rootfile")]
+    return next(filter(None, named), None)
+
+
+def package_rows(opf: bytes, package: str) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(id, entry) of the manifest and (pos, id) of the reading order."""
+    root, base = ElementTree.fromstring(opf), posixpath.dirname(package)
+    items = [(e.get("id"), posixpath.normpath(posixpath.join(base, e.get("href")))) for e in root.findall(".//{*}item[@href]") if e.get("id")]
+    order = [e.get("idref") for e in root.findall(".//{*}itemref[@idref]")]
+    return pd.DataFrame(items, columns=["id", "entry"]).drop_duplicates("id", keep="last"), pd.DataFrame({"pos": range(len(order)), "id": order})
 
 
 def spine(entries: dict[str, bytes], package: str | None) -> list[str]:
     """The members in reading order; references to nothing are left out."""
     if not package or package not in entries:
         return []
-    href, order = {}, []
-    for e in ElementTree.fromstring(entries[package]).iter():
-        tag = e.tag.rsplit("}", 1)[-1]
-        if tag == "item" and e.get("id") and e.get("href"):
-            href[e.get("id")] = e.get("href")
-        elif tag == "itemref" and e.get("idref"):
-            order.append(e.get("idref"))
-    base = posixpath.dirname(package)
-    paths = [posixpath.normpath(posixpath.join(base, href[i])) for i in order if i in href]
-    return [p for p in paths if p in entries]
+    items, order = package_rows(entries[package], package)
+    if items.empty or order.empty:
+        return []
+    return [p for p in order.merge(items, "inner", "id").sort_values("pos")["entry"] if p in entries]
 
 
 def contents(ncx: bytes) -> list[tuple[str, str]]:
@@ -112,20 +133,36 @@ def read_members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, entry string, content binary, warning string")
 
 
+_PARTS = "path string, kind string, key string, pos int, entry string, html string"
+
+
 def read_spine(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, pos, entry, html): the documents of archives in reading order (S4, S5); by name if there is no package."""
+    """(path, pos, entry, html): the documents of archives in reading order (S4, S5); by name if there is no package.
+
+    The reading order, the manifest and the members are rows, and are joined.
+    """
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in rows:
             out = []
             for path, data in zip(b["path"], b["content"]):
                 found, _ = members(bytes(data))
-                order = [p for p in spine(found, package_path(found)) if p.lower().endswith((".html", ".xhtml", ".htm"))]
-                order = order or sorted(p for p in found if p.lower().endswith((".html", ".xhtml", ".htm")))
-                out += [(path, i, p, found[p].decode("utf-8", errors="replace")) for i, p in enumerate(order)]
-            yield pd.DataFrame(out, columns=["path", "pos", "entry", "html"])
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, pos int, entry string, html string")
+                out += [(path, "document", None, None, n, found[n].decode("utf-8", errors="replace")) for n in found if re.search(N.MARKUP_FILE, n.lower())]
+                package = package_path(found)
+                if package in found:
+                    items, order = package_rows(found[package], package)
+                    out += [(path, "item", i, None, e, None) for i, e in items.itertuples(index=False)]
+                    out += [(path, "order", i, p, None, None) for p, i in order.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=["path", "kind", "key", "pos", "entry", "html"]).astype({"pos": "Int32"})
+
+    parts = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, _PARTS)
+    documents = parts.where("kind = 'document'").select("path", "entry", "html")
+    items, order = parts.where("kind = 'item'").select("path", "key", "entry"), parts.where("kind = 'order'").select("path", "key", "pos")
+    told = order.join(items, ["path", "key"]).join(documents, ["path", "entry"]).select("path", "pos", "entry", "html")
+    w = Window.partitionBy("path")  # the documents of one archive
+    untold = documents.join(told.select("path").distinct(), "path", "left_anti").withColumn("pos", F.row_number().over(w.orderBy("entry")))
+    every = told.unionByName(untold.select("path", "pos", "entry", "html"))
+    return every.withColumn("pos", (F.row_number().over(w.orderBy("pos")) - 1).cast("int"))
 
 
 def chapter_files(pattern: str, numbers: range) -> list[str]:

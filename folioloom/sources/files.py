@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioloom.operators.ranks import bounded_rows
+
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON file under a declared schema; a file that doesn't fit is an error."""
@@ -39,7 +41,7 @@ def lines_side_by_side(lines: DataFrame, files: list[str]) -> DataFrame:
 def resolve_paths(versions: DataFrame, local: Mapping[str, str], environment: Mapping[str, str] | None = None) -> DataFrame:
     """(id, path, exists_path): the stated path, else the environment's, else the local one."""
     env = os.environ if environment is None else environment
-    rows = versions.select("id", "source_path", "source_path_env").collect()  # a catalogue of editions
+    rows = bounded_rows(versions.select("id", "source_path", "source_path_env"), 100_000, "the catalogue of editions")
     found = []
     for r in rows:
         path = r.source_path or (env.get(r.source_path_env) if r.source_path_env else None) or local.get(r.id)
@@ -88,8 +90,8 @@ def chapter_metrics(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def stored_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table, or an empty one if there is none."""
-    try:
+    """A stored table, or an empty one if there is none; one that can't be read is an error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001  (the path or the files are missing or unreadable)
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)

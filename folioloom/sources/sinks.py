@@ -7,6 +7,7 @@ document, whose rows come in order through an iterator.
 from __future__ import annotations
 
 import json
+import textwrap
 import zipfile
 from collections.abc import Iterator
 from html import escape
@@ -25,10 +26,14 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_json_file(df: DataFrame, path: str, name: str | None = None) -> None:
-    """K1, K7: one indented file, wrapped in a module if a name is given."""
-    rows = [json.loads(r) for r in df.toJSON().toLocalIterator()]
-    text = json.dumps(rows, ensure_ascii=False, indent=2)
-    Path(path).write_text(f"module.exports = {{ {name}: {text} }};\n" if name else text + "\n", encoding="utf-8")
+    """K1, K7: one indented file, wrapped in a module if a name is given; a row at a time."""
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(f"module.exports = {{ {name}: [" if name else "[")
+        some = False
+        for r in df.toJSON().toLocalIterator():
+            out.write((",\n" if some else "\n") + textwrap.indent(json.dumps(json.loads(r), ensure_ascii=False, indent=2), "  "))
+            some = True
+        out.write(("\n" if some else "") + ("] };\n" if name else "]\n"))
 
 
 def replace_store(df: DataFrame, path: str) -> None:
