@@ -45,10 +45,15 @@ def heat_map(df: DataFrame, row: str, column: str, columns: Sequence, value: Col
     return df.groupBy(row).pivot(column, list(columns)).agg(agg).na.fill(0)
 
 
-def share_of_most(value: Column, floor: float, span: float) -> list[Column]:
-    """The share of the largest value, and how strongly it is shown (0 for 0)."""
-    share = F.coalesce(F.try_divide(value.cast("double"), F.max(value).over(Window.partitionBy())), F.lit(0.0))
-    return [share.alias("share"), F.when(value == 0, F.lit(0.0)).otherwise(F.lit(floor) + share * span).alias("intensity")]
+def share_of_most(df: DataFrame, value: str, floor: float, span: float) -> DataFrame:
+    """Adds the share of the largest value, and how strongly it is shown (0 for 0).
+
+    The largest value is one row, which joins every partition.
+    """
+    most = df.agg(F.max(value).alias("_most"))
+    share = F.coalesce(F.try_divide(F.col(value).cast("double"), F.col("_most")), F.lit(0.0))
+    return df.join(F.broadcast(most)).withColumn("share", share).withColumn(
+        "intensity", F.when(F.col(value) == 0, F.lit(0.0)).otherwise(F.lit(floor) + F.col("share") * span)).drop("_most")
 
 
 def top_by_text(df: DataFrame, by: str, key: str, count: str) -> DataFrame:

@@ -53,16 +53,32 @@ def select_by_ratio(sentences: DataFrame, windows: DataFrame, keys: list[str]) -
         "window_id", F.array_join("s.text", "\n").alias("text"), F.col("s.idx").alias("idx"))
 
 
+#: Characters of a stretch in which anchors look for sentences.
+BAND = 1200
+
+
 def band_candidates(anchors: DataFrame, sentences: DataFrame, keys: list[str], nearest: int = 12) -> DataFrame:
     """(anchor_id, idx): sentences whose middle is in the anchor's band, else the nearest ones.
 
-    `anchors` has (anchor_id, keys, target, window), `sentences` (keys, idx, start, end).
+    `anchors` has (anchor_id, keys, target, window), `sentences` (keys, idx, start, end).  An
+    anchor meets the sentences of the stretches that its band touches.  One without any is put
+    among the sentences in order, and meets those on both sides of its place.
     """
-    mid = (F.col("start") + F.col("end")) / 2
-    near = anchors.join(sentences, keys).withColumn("_d", F.abs(mid - F.col("target")))
-    w = Window.partitionBy("anchor_id")
-    ranked = near.withColumn("_in", F.max((F.col("_d") <= F.col("window")).cast("int")).over(w)).withColumn("_n", F.row_number().over(w.orderBy("_d", "idx")))
-    return ranked.where(F.when(F.col("_in") == 1, F.col("_d") <= F.col("window")).otherwise(F.col("_n") <= nearest)).select("anchor_id", "idx")
+    mid = ((F.col("start") + F.col("end")) / 2).alias("_mid")
+    own = sentences.select(*keys, "idx", mid)
+    reach = F.sequence(F.floor((F.col("target") - F.col("window")) / BAND), F.floor((F.col("target") + F.col("window")) / BAND))
+    asked = anchors.select("anchor_id", *keys, "target", "window").withColumn("_band", F.explode(reach))
+    hits = asked.join(own.withColumn("_band", F.floor(F.col("_mid") / BAND)), [*keys, "_band"]).where(F.abs(F.col("_mid") - F.col("target")) <= F.col("window")).select("anchor_id", "idx")
+    missed = anchors.select("anchor_id", *keys, "target").join(hits.select("anchor_id").distinct(), "anchor_id", "left_anti")
+    order = Window.partitionBy(*keys)
+    placed = own.withColumn("_r", F.row_number().over(order.orderBy("_mid", "idx")))
+    line = placed.select(*keys, F.col("_mid").alias("_p"), F.lit(1).alias("_s"), F.lit(None).cast(anchors.schema["anchor_id"].dataType).alias("anchor_id")).unionByName(
+        missed.select(*keys, F.col("target").cast("double").alias("_p"), F.lit(0).alias("_s"), "anchor_id"))
+    before = line.withColumn("_b", F.sum("_s").over(order.orderBy("_p").rangeBetween(Window.unboundedPreceding, Window.currentRow))).where("_s = 0")
+    around = before.select("anchor_id", *keys, F.col("_p").alias("target"), F.explode(F.sequence(F.col("_b") - nearest + 1, F.col("_b") + nearest)).alias("_r"))
+    near = around.join(placed.withColumn("_r", F.col("_r").cast("bigint")), [*keys, "_r"]).withColumn("_d", F.abs(F.col("_mid") - F.col("target")))
+    best = near.withColumn("_n", F.row_number().over(Window.partitionBy("anchor_id").orderBy("_d", "idx"))).where(F.col("_n") <= nearest)
+    return hits.unionByName(best.select("anchor_id", "idx"))
 
 
 def promising(rows: DataFrame, parts: Column, weight: float, most: int) -> DataFrame:

@@ -5,19 +5,35 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`; a session on one machine may leave it unset, one on a cluster may not."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "folioloom-checkpoint")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df` written to the session's `spark.checkpoint.dir` and read from there; a folder is made only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "folioloom-checkpoint"))
+    """`df` written to the folder that all executors share, and read from there."""
+    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def bounded_rows(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a small table; more than `most` are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what} has more than {most} rows")
+    return rows
+
+
 def placed(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """The place of each row within its key, from 1.
 

@@ -105,8 +105,7 @@ SELECT category, CAST(total AS BIGINT) AS total, round(total / max(total) OVER (
 def category_share(spark, sf_dir) -> DataFrame:
     """Mentions by category, as a share of the largest and as a strength of colour."""
     c = O.counted(load(spark, sf_dir, "term_stats"), "category", value=F.col("mention_count"), name="total")
-    share, strength = O.share_of_most(F.col("total"), 0.12, 0.72)
-    return c.select("category", "total", share, strength).withColumns({"share": F.round("share", 6), "intensity": F.round("intensity", 6)})
+    return O.share_of_most(c, "total", 0.12, 0.72).select("category", "total", "share", "intensity").withColumns({"share": F.round("share", 6), "intensity": F.round("intensity", 6)})
 
 
 @query("""

@@ -93,17 +93,17 @@ def version_cross(spark, sf_dir) -> DataFrame:
 @query(f"""
 WITH s AS (SELECT sentence_id, chapter_id, sent, text, coalesce(sum(length(text)) OVER (PARTITION BY chapter_id ORDER BY sent, sentence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {_S} WHERE lang = 'en'),
 c AS (SELECT chapter_id, sum(length(text)) AS chars FROM s GROUP BY 1), t AS (SELECT sentence_id, chapter_id, start + length(text) / 2 AS mid FROM s),
-a AS (SELECT sentence_id AS anchor_id, s.chapter_id, CASE WHEN sent % 2 = 0 THEN chars * 0.5 ELSE chars * 3.0 END AS target, 150.0 AS w FROM s JOIN c USING (chapter_id) WHERE sent % 5 = 0),
+a AS (SELECT sentence_id AS anchor_id, s.chapter_id, CASE WHEN sent % 2 = 0 THEN chars * 0.5 ELSE chars * 3.0 END AS target, 150.0 AS w FROM s JOIN c USING (chapter_id) WHERE sentence_id % 20 = 0),
 d AS (SELECT anchor_id, t.sentence_id, abs(mid - target) AS dist, w, max(CASE WHEN abs(mid - target) <= w THEN 1 ELSE 0 END) OVER (PARTITION BY anchor_id) AS near, row_number() OVER (PARTITION BY anchor_id ORDER BY abs(mid - target), t.sentence_id) AS k FROM a JOIN t USING (chapter_id))
 SELECT anchor_id, sentence_id AS idx FROM d WHERE CASE WHEN near = 1 THEN dist <= w ELSE k <= 12 END""")
 def band_join_knn(spark, sf_dir) -> DataFrame:
-    """Sentences in a band around a position, or the twelve nearest."""
+    """Sentences in a band around a position, or the twelve nearest; asked for every twentieth id."""
     s = load(spark, sf_dir, "sentences", "sentence_id", "chapter_id", "lang", "sent", "text").where("lang = 'en'")
     run = Window.partitionBy("chapter_id").orderBy("sent", "sentence_id").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("start", F.coalesce(F.sum(F.length("text")).over(run), F.lit(0)).cast("double"))
     t = s.select("chapter_id", F.col("sentence_id").alias("idx"), "start", (F.col("start") + F.length("text")).alias("end"))
     c = s.groupBy("chapter_id").agg(F.sum(F.length("text")).alias("chars"))
-    a = s.where("sent % 5 = 0").join(c, "chapter_id").select(F.col("sentence_id").alias("anchor_id"), "chapter_id", F.when(F.col("sent") % 2 == 0, F.col("chars") * 0.5).otherwise(F.col("chars") * 3.0).alias("target"), F.lit(150.0).alias("window"))
+    a = s.where("sentence_id % 20 = 0").join(c, "chapter_id").select(F.col("sentence_id").alias("anchor_id"), "chapter_id", F.when(F.col("sent") % 2 == 0, F.col("chars") * 0.5).otherwise(F.col("chars") * 3.0).alias("target"), F.lit(150.0).alias("window"))
     return X.band_candidates(a, t, ["chapter_id"])
 
 
@@ -141,25 +141,40 @@ def interval_overlap(spark, sf_dir) -> DataFrame:
     return a.join(b, ["user_id", "k"]).where("s1 < e2 and s2 < e1").select("a_id", "b_id", (F.least("e1", "e2") - F.greatest("s1", "s2")).alias("shared"))
 
 
-@query(f"""
-WITH s AS (SELECT chapter_id, row_number() OVER (PARTITION BY chapter_id ORDER BY sent, sentence_id) - 1 AS k, regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', '', 'g') AS t FROM {_S} WHERE lang = 'en'),
-w AS (SELECT chapter_id, k AS start, k + n AS stop, n, array_to_string(list(t) OVER (PARTITION BY chapter_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), '|') AS x, list(t) OVER (PARTITION BY chapter_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS l FROM s, range(1, 4) r(n)),
-p AS (SELECT chapter_id, k AS start, k + n AS stop, array_to_string(l[1:n], '') AS t FROM (SELECT s.chapter_id, s.k, (SELECT list(z.t ORDER BY z.k) FROM s z WHERE z.chapter_id = s.chapter_id AND z.k BETWEEN s.k AND s.k + 2) AS l FROM s), range(1, 4) r(n) WHERE n <= len(l)),
-q AS (SELECT chapter_id, substring(t, 5, 40) AS quote FROM s WHERE k = 3 AND length(t) >= 20),
-v AS (SELECT q.chapter_id, start, stop, CASE WHEN contains(t, quote) THEN 1 WHEN contains(quote, t) THEN length(t) / length(quote)
-  ELSE len(list_filter(list_distinct(list_transform(range(1, greatest(length(quote) - 3, 1) + 1), lambda i: substring(quote, i, 4))), lambda g: contains(t, g))) / len(list_distinct(list_transform(range(1, greatest(length(quote) - 3, 1) + 1), lambda i: substring(quote, i, 4)))) END - (stop - start - 1) * 0.015 AS score FROM q JOIN p USING (chapter_id))
-SELECT chapter_id AS quote_id, CAST(start AS INTEGER) AS span_start, CAST(stop AS INTEGER) AS span_end, round(greatest(score, 0), 6) AS score FROM v QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY score DESC, start, stop) = 1""".replace(
-    "w AS (SELECT chapter_id, k AS start, k + n AS stop, n, array_to_string(list(t) OVER (PARTITION BY chapter_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), '|') AS x, list(t) OVER (PARTITION BY chapter_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS l FROM s, range(1, 4) r(n)),\n", ""))
-def best_span(spark, sf_dir) -> DataFrame:
-    """The 1 to 3 sentences that hold most of a quotation."""
+def _best_span_sql(most: int, penalty: float) -> str:
+    grams = "list_distinct(list_transform(range(1, greatest(length(quote) - 3, 1) + 1), lambda i: substring(quote, i, 4)))"
+    return f"""
+WITH s AS (SELECT chapter_id, sentence_id, row_number() OVER (PARTITION BY chapter_id ORDER BY sent, sentence_id) - 1 AS k, regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', '', 'g') AS t FROM {_S} WHERE lang = 'en'),
+l AS (SELECT chapter_id, k, list(t) OVER (PARTITION BY chapter_id ORDER BY k ROWS BETWEEN CURRENT ROW AND {most - 1} FOLLOWING) AS l FROM s),
+p AS (SELECT chapter_id, k AS start, k + n AS stop, array_to_string(l[1:n], '') AS t FROM l, range(1, {most + 1}) r(n) WHERE n <= len(l)),
+q AS (SELECT chapter_id, sentence_id AS quote_id, substring(t, 5) || substring(t, 1, 4) AS quote FROM s WHERE sentence_id % 20 = 0),
+v AS (SELECT quote_id, start, stop, CASE WHEN contains(t, quote) THEN 1 WHEN contains(quote, t) THEN length(t) / length(quote)
+  ELSE len(list_filter({grams}, lambda g: contains(t, g))) / len({grams}) END - (stop - start - 1) * {penalty} AS score FROM q JOIN p USING (chapter_id) WHERE quote <> '')
+SELECT quote_id, CAST(start AS INTEGER) AS span_start, CAST(stop AS INTEGER) AS span_end, round(greatest(score, 0), 6) AS score FROM v QUALIFY row_number() OVER (PARTITION BY quote_id ORDER BY score DESC, start, stop) = 1
+UNION ALL SELECT quote_id, 0, 1, 0.0 FROM q WHERE quote = ''"""
+
+
+def _best_span(spark, sf_dir, most: int, penalty: float) -> DataFrame:
     s = load(spark, sf_dir, "sentences", "sentence_id", "chapter_id", "lang", "sent", "text").where("lang = 'en'")
-    s = s.select("chapter_id", F.struct("sent", "sentence_id").alias("o"), N.match_key(F.col("text")).alias("t"))
-    w = Window.partitionBy("chapter_id").orderBy("o")
-    q = s.withColumn("k", F.row_number().over(w)).where("k = 4 and length(t) >= 20").select("chapter_id", F.col("chapter_id").alias("quote_id"), F.substring("t", 5, 40).alias("quote"))
-    found = X.best_span(q, X.spans(s, ["chapter_id"], "o", "t", 3), ["chapter_id"], 0.015)
+    s = s.select("chapter_id", "sentence_id", F.struct("sent", "sentence_id").alias("o"), N.match_key(F.col("text")).alias("t"))
+    # Whole sentences, their first letters at the end: no span holds them as they are.
+    q = s.where("sentence_id % 20 = 0").select("chapter_id", F.col("sentence_id").alias("quote_id"), F.expr("concat(substring(t, 5), substring(t, 1, 4))").alias("quote"))
+    found = X.best_span(q, X.spans(s, ["chapter_id"], "o", "t", most), ["chapter_id"], penalty)
     return found.select("quote_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.round("score", 6).alias("score"))
 
 
+@query(_best_span_sql(3, 0.015))
+def best_span(spark, sf_dir) -> DataFrame:
+    """The 1 to 3 sentences that hold most of a quotation; asked for every twentieth id."""
+    return _best_span(spark, sf_dir, 3, 0.015)
+
+
+@query(_best_span_sql(4, 0.02))
+def best_span_wide(spark, sf_dir) -> DataFrame:
+    """The same over 1 to 4 sentences, with the other penalty."""
+    return _best_span(spark, sf_dir, 4, 0.02)
+
+
 @query(f"""
 WITH s AS (SELECT chapter_id, sentence_id, row_number() OVER (PARTITION BY chapter_id ORDER BY sent, sentence_id) AS k, count(*) OVER (PARTITION BY chapter_id) AS n, text FROM {_S} WHERE lang = 'zh'),
 o AS (SELECT chapter_id, k, text, (k - 1) / n AS a, k / n AS b, 0.31::DOUBLE AS wa, 0.44::DOUBLE AS wb FROM s), d AS (SELECT *, greatest(0, least(b, wb) - greatest(a, wa)) AS ov, abs((a + b) / 2 - (wa + wb) / 2) AS dist FROM o),
@@ -269,16 +284,19 @@ def semantic_rebalance(spark, sf_dir) -> DataFrame:
 
 @query()
 def excerpt_match(spark, sf_dir) -> DataFrame:
-    """The passage of each chapter that is most like a sentence of it, reworded."""
+    """The passage of a chapter that is most like a sentence of its other edition.
+
+    Here the sentences are the chapter's own, asked for every twentieth id.
+    """
     s = load(spark, sf_dir, "sentences", "sentence_id", "chapter_id", "lang", "sent", "text").where("lang = 'zh'")
     w = Window.partitionBy("chapter_id").orderBy("sent", "sentence_id")
     s = s.withColumn("idx", F.row_number().over(w) - 1).withColumn("start", F.coalesce(F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    s = s.select("chapter_id", "idx", "text", "start", (F.col("start") + F.length("text")).alias("end"))
+    s = s.select("chapter_id", "sentence_id", "idx", "text", "start", (F.col("start") + F.length("text")).alias("end"))
     chars = s.groupBy("chapter_id").agg(F.max("end").alias("chars"))
-    a = s.where("idx = 4").join(chars, "chapter_id").select(F.col("chapter_id").alias("anchor_id"), "chapter_id", F.substring("text", 2, 60).alias("anchor"), ((F.col("start") + F.col("end")) / 2).alias("target"), "chars")
+    a = s.where("sentence_id % 20 = 0").join(chars, "chapter_id").select(F.col("sentence_id").alias("anchor_id"), "chapter_id", F.col("text").alias("anchor"), ((F.col("start") + F.col("end")) / 2).alias("target"), "chars")
     # Scoring is dear and the rows are few: over all cores, whatever the files were.
     a = a.repartition(spark.sparkContext.defaultParallelism, "anchor_id")
-    m = X.match_excerpts(a, s, ["chapter_id"])
+    m = X.match_excerpts(a, s.drop("sentence_id"), ["chapter_id"])
     return m.withColumns({c: F.round(c, 3) for c in ("confidence", "recall", "length_ratio", "position_delta")})
 
 
@@ -357,7 +375,10 @@ def html_blocks_translation(spark, sf_dir) -> DataFrame:
     return read_blocks(_pages(spark, sf_dir), "textdoc_id", "html", "translation")
 
 
-@query()
+@query(f"""
+WITH t AS (SELECT textdoc_id, 2 * k AS o, trim(regexp_replace(regexp_replace(replace(b, chr(160), ' ') || chr(10), '[ \\t\\r\\f\\x0b]+', ' ', 'g'), '\\n+', chr(10), 'g'), ' \x09\x0a\u2028\u2029\u3000\u2003\u2009\u200a\u202f\u205f\u1680\u0085') AS text FROM {_BLOCKS}
+  UNION ALL SELECT textdoc_id, 2 * k + 1, 'skip' FROM {_BLOCKS})
+SELECT textdoc_id, CAST(row_number() OVER (PARTITION BY textdoc_id ORDER BY o) AS INTEGER) AS idx, text FROM t WHERE text <> ''""")
 def html_blocks_extract(spark, sf_dir) -> DataFrame:
     """Here list items are blocks too."""
     from folioloom.sources.blocks import read_blocks
@@ -397,10 +418,10 @@ def chapter_metrics(spark, sf_dir) -> DataFrame:
     return metrics(p, ["work_id", "chapter", "version_id"], "text").withColumnRenamed("rows", "n_rows")
 
 
-@query(f"SELECT work_id, chapter, version_id, lang, string_agg(text, chr(10) ORDER BY idx, paragraph_id) AS blocks FROM {_P} WHERE lang = 'ja' GROUP BY 1, 2, 3, 4")
+@query(f"SELECT work_id, chapter, version_id, lang, string_agg(text, chr(10) ORDER BY idx, paragraph_id) AS blocks FROM {_P} GROUP BY 1, 2, 3, 4")
 def grouped_chapters(spark, sf_dir) -> DataFrame:
     """The texts of a chapter in order."""
-    p = load(spark, sf_dir, "paragraphs", "paragraph_id", "work_id", "chapter", "version_id", "lang", "idx", "text").where("lang = 'ja'")
+    p = load(spark, sf_dir, "paragraphs", "paragraph_id", "work_id", "chapter", "version_id", "lang", "idx", "text")
     b = F.sort_array(F.collect_list(F.struct("idx", "paragraph_id", "text")))
     return p.groupBy("work_id", "chapter", "version_id", "lang").agg(b.alias("b")).select("work_id", "chapter", "version_id", "lang", F.array_join("b.text", "\n").alias("blocks"))
 

@@ -9,6 +9,7 @@ from folioloom.functions import measures as M
 from folioloom.functions import segment as S
 from folioloom.functions import text as N
 from folioloom.operators import relational as R
+from folioloom.operators.ranks import bounded_rows
 from folioloom.plans.tables import load
 
 QUERIES: dict = {}
@@ -51,10 +52,10 @@ def tidy_text(spark, sf_dir) -> DataFrame:
     return _paragraphs(spark, sf_dir, "en").select("paragraph_id", N.tidy_punctuation(F.col("text")).alias("tidy"))
 
 
-@query(f"""SELECT paragraph_id, regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \\t\\r\\f\\x0b]+', ' ', 'g'), '\\n+', chr(10), 'g') AS kept FROM {_P} WHERE lang = 'pt'""")
+@query(f"""SELECT paragraph_id, regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \\t\\r\\f\\x0b]+', ' ', 'g'), '\\n+', chr(10), 'g') AS kept FROM {_P}""")
 def kept_lines(spark, sf_dir) -> DataFrame:
     """Blanks squeezed within lines."""
-    return _paragraphs(spark, sf_dir, "pt").select("paragraph_id", N.keep_lines(F.col("text")).alias("kept"))
+    return _paragraphs(spark, sf_dir).select("paragraph_id", N.keep_lines(F.col("text")).alias("kept"))
 
 
 @query(f"SELECT paragraph_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', '', 'g') AS key FROM {_P}")
@@ -72,7 +73,7 @@ def comparable_text(spark, sf_dir) -> DataFrame:
 @query(f"""SELECT paragraph_id, translate(text, (SELECT string_agg(trad, '' ORDER BY trad) FROM script_map), (SELECT string_agg(simp, '' ORDER BY trad) FROM script_map)) AS simplified FROM {_P} WHERE lang = 'zh'""")
 def simplified_text(spark, sf_dir) -> DataFrame:
     """One character for another, by a table."""
-    pairs = {r.trad: r.simp for r in load(spark, sf_dir, "script_map").collect()}  # one row for each character
+    pairs = {r.trad: r.simp for r in bounded_rows(load(spark, sf_dir, "script_map"), 200_000, "script_map")}  # one row for each character
     return _paragraphs(spark, sf_dir, "zh").select("paragraph_id", N.replace_characters(F.col("text"), pairs).alias("simplified"))
 
 
