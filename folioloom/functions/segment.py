@@ -1,7 +1,6 @@
 """Sentences and chunks of texts, as expressions on columns where a pattern can tell them.
 
-`western_spans` and `closed_sentences` need to look back over what they have cut and run in
-Arrow batches.
+What needs to look back over what has been cut already runs in Arrow batches.
 """
 
 from __future__ import annotations

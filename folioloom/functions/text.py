@@ -201,6 +201,10 @@ def is_page_noise(text: Column) -> Column:
     return text.rlike(r"^(\d{1,4}|20\d{6}|[IVXLCDM]{1,8})$")
 
 
+#: Names of documents within archives, in lower case.
+MARKUP_FILE = r"\.(html|xhtml|htm)$"
+
+
 def is_markup_file(name: Column) -> Column:
     """F6."""
-    return F.lower(name).rlike(r"\.(html|xhtml|htm)$")
+    return F.lower(name).rlike(MARKUP_FILE)

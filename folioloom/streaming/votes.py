@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from folioloom.operators.ranks import shared_folder
+
 
 def vote_stream(events: DataFrame, question: str, version: str) -> DataFrame:
     """(question, version, votes) over all events so far; state has a row for each pair."""
@@ -25,12 +27,11 @@ def first_deliveries(events: DataFrame, time: str, key: str, late: str) -> DataF
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> StreamingQuery:
     """All that is there now, into a table in memory; for files as streams and for tests.
 
-    Offsets and state go to the folder all executors share, if the session names one.
+    Offsets and state go to the folder all executors share.
     """
-    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    checkpoint = checkpoint or (f"{shared}/stream-{name}" if shared else None)
+    checkpoint = checkpoint or f"{shared_folder(stream.sparkSession)}/stream-{name}"
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    query = writer.option("checkpointLocation", checkpoint).start()
     query.awaitTermination()
     return query
 
