@@ -272,7 +272,10 @@ def cut_ranges(items: DataFrame, with_text: bool = True) -> DataFrame:
     volume = own.agg(F.sum("n_bytes")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // (16 * RANGE)))
     parts = cut_lineage(ranges(own).repartition(tasks, *KEY, "no"))
-    placed = parts.join(entries(parts), [*KEY, "no"], "left").na.fill(0, ["at", "chars_before", "cuts_before"]).where("at >= 0")
+    single = parts.where("parts = 1").withColumns({c: F.lit(0).cast("bigint") for c in ("at", "chars_before", "cuts_before")})
+    several = parts.where("parts > 1").join(entries(parts), [*KEY, "no"]).where("at >= 0")
+    # The join of small rows leaves few partitions.
+    placed = single.unionByName(several.repartition(tasks, *KEY, "no"))
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in rows:
