@@ -359,6 +359,51 @@ def _pages(spark, sf_dir) -> DataFrame:
 _READ = f"SELECT textdoc_id, CAST(k AS INTEGER) AS idx, trim(regexp_replace(b, '{_WS}+', ' ', 'g'), ' ') AS text FROM {_BLOCKS}"
 
 
+def _archives(spark, sf_dir) -> DataFrame:
+    """(path, content): an e-book of each text document, its blocks in reverse reading order; of odd ones the directory is lost."""
+    import io
+    import zipfile
+    from html import escape
+
+    import pandas as pd
+
+    def made(doc: int, blocks) -> bytes:
+        out, names = io.BytesIO(), [f"b{k:04d}.xhtml" for k in range(1, len(blocks) + 1)]
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("META-INF/container.xml", '<container xmlns="u"><rootfiles><rootfile full-path="OEBPS/p.opf"/></rootfiles></container>')
+            items = "".join(f'<item id="{n}" href="{n}"/>' for n in names)
+            z.writestr("OEBPS/p.opf", f'<package xmlns="u"><manifest>{items}</manifest><spine>{"".join(f"""<itemref idref="{n}"/>""" for n in reversed(names))}<itemref idref="lost"/></spine></package>')
+            for n, b in zip(names, blocks):
+                z.writestr(f"OEBPS/{n}", f"<html><body><p>{escape(b or '', False)}</p></body></html>", zipfile.ZIP_STORED if doc % 3 else zipfile.ZIP_DEFLATED)
+        return out.getvalue()[: z.start_dir] if doc % 2 else out.getvalue()
+
+    def run(rows):
+        for b in rows:
+            yield pd.DataFrame({"path": b["textdoc_id"].astype(str), "content": [made(i, x) for i, x in zip(b["textdoc_id"], b["blocks"])]})
+
+    return load(spark, sf_dir, "text_documents", "textdoc_id", "blocks").where("blocks is not null").mapInPandas(run, "path string, content binary")
+
+
+_PAGE = "'<html><body><p>' || replace(replace(replace(coalesce(b, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p></body></html>'"
+
+
+@query(f"SELECT textdoc_id, printf('OEBPS/b%04d.xhtml', k) AS entry, md5({_PAGE}) AS digest, CASE WHEN textdoc_id % 2 = 1 THEN 'zip_central_directory_unreadable' END AS warning FROM {_BLOCKS}")
+def archive_members(spark, sf_dir) -> DataFrame:
+    """The members of archives, whole and damaged."""
+    from folioloom.sources.archives import members_of
+
+    m = members_of(_archives(spark, sf_dir)).where("entry like '%.xhtml'")
+    return m.select(F.col("path").cast("bigint").alias("textdoc_id"), "entry", F.md5("content").alias("digest"), "warning")
+
+
+@query(f"SELECT textdoc_id, CAST(count(*) OVER (PARTITION BY textdoc_id) - k AS INTEGER) AS pos, printf('OEBPS/b%04d.xhtml', k) AS entry, md5({_PAGE}) AS digest FROM {_BLOCKS}")
+def archive_spine(spark, sf_dir) -> DataFrame:
+    """The documents of archives in reading order."""
+    from folioloom.sources.archives import spine_of
+
+    return spine_of(_archives(spark, sf_dir)).select(F.col("path").cast("bigint").alias("textdoc_id"), "pos", "entry", F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
 @query(_READ)
 def html_blocks_book(spark, sf_dir) -> DataFrame:
     """Blocks of pages made from the tables' own blocks come back in order."""

@@ -119,8 +119,17 @@ def toc_links(html: bytes, base: str) -> list[tuple[str, str]]:
     return [(posixpath.normpath(posixpath.join(base, h.split("#")[0])), label) for h, label in links_of(html.decode("utf-8", errors="replace"))]
 
 
+def binary_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(paths).select("path", "content")
+
+
 def read_members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, entry, content, warning) of archives."""
+    return members_of(binary_files(spark, paths))
+
+
+def members_of(archives: DataFrame) -> DataFrame:
+    """The same of (path, content)."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in rows:
@@ -130,7 +139,7 @@ def read_members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 out += [(path, n, c, warning) for n, c in found.items()]
             yield pd.DataFrame(out, columns=["path", "entry", "content", "warning"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, entry string, content binary, warning string")
+    return archives.select("path", "content").mapInPandas(run, "path string, entry string, content binary, warning string")
 
 
 _PARTS = "path string, kind string, key string, pos int, entry string, html string"
@@ -141,6 +150,11 @@ def read_spine(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     The reading order, the manifest and the members are rows, and are joined.
     """
+    return spine_of(binary_files(spark, paths))
+
+
+def spine_of(archives: DataFrame) -> DataFrame:
+    """The same of (path, content)."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in rows:
@@ -155,7 +169,7 @@ def read_spine(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                     out += [(path, "order", i, p, None, None) for p, i in order.itertuples(index=False)]
             yield pd.DataFrame(out, columns=["path", "kind", "key", "pos", "entry", "html"]).astype({"pos": "Int32"})
 
-    parts = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, _PARTS)
+    parts = archives.select("path", "content").mapInPandas(run, _PARTS)
     documents = parts.where("kind = 'document'").select("path", "entry", "html")
     items, order = parts.where("kind = 'item'").select("path", "key", "entry"), parts.where("kind = 'order'").select("path", "key", "pos")
     told = order.join(items, ["path", "key"]).join(documents, ["path", "entry"]).select("path", "pos", "entry", "html")
